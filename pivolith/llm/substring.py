@@ -68,8 +68,9 @@ def _words(text: str | None) -> list[str]:
     return _FIND.findall(text or "")
 
 
-_ROWS = "h long, id long, at long, kind byte"
-_NAMES = ["h", "id", "at", "kind"]
+#: at: 32 more hash bits, 30 bits of position, two bits of kind.
+_ROWS = "h long, id long, at long"
+_NAMES = ["h", "id", "at"]
 #: kind: one that stands for its hash in a task; the same, with others there; one of the others.
 ONE, SEVERAL, OTHER = 0, 1, 2
 
@@ -87,9 +88,14 @@ def _reduced(parts: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]]) -> pa.
     several = np.append(head[1:] == 0, False)
     kind = np.where(head, np.where(several, SEVERAL, ONE), OTHER).astype(np.int8)
     key = np.where(head, h, mix(h + mix(id_.view(np.uint64) + at.astype(np.uint64) * _BASE)))
-    keep = ~twice
-    packed = (more.astype(np.uint64) << np.uint64(32)) | at.astype(np.uint64)
-    return pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(id_[keep]), pa.array(packed[keep].view(np.int64)), pa.array(kind[keep])], _NAMES)
+    packed = (more.astype(np.uint64) << np.uint64(32)) | (at.astype(np.uint64) << np.uint64(2)) | kind.astype(np.uint64)
+    keep = np.argsort(order)  # as they came: neighbours share the document, which packs better
+    keep = keep[~twice[keep]]
+    return pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(id_[keep]), pa.array(packed[keep].view(np.int64))], _NAMES)
+
+
+def _place(at: np.ndarray) -> np.ndarray:
+    return ((at & 0xFFFFFFFF) >> 2).astype(np.int32)
 
 
 def _sent(batches: Iterator[pa.RecordBatch], make: Callable) -> Iterator[pa.RecordBatch]:
@@ -115,17 +121,17 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, id_, at, kind = (c.to_numpy() for c in batch.columns)
-        known = kind != ONE
+        h, id_, at = (c.to_numpy() for c in batch.columns)
+        known = at & 3 != ONE
         if held is not None:
             h, id_, at, known = (np.concatenate([a, b]) for a, b in zip(held, (h, id_, at, known), strict=True))
         same = h[1:] == h[:-1]
         known[1:] |= same
         known[:-1] |= same
         held = tuple(x[-1:] for x in (h, id_, at, known))
-        yield pa.RecordBatch.from_arrays([pa.array(id_[:-1][known[:-1]]), pa.array(at[:-1][known[:-1]].astype(np.int32))], ["id", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(id_[:-1][known[:-1]]), pa.array(_place(at[:-1][known[:-1]]))], ["id", "at"])
     if held is not None and held[3][0]:
-        yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(held[2].astype(np.int32))], ["id", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(_place(held[2]))], ["id", "at"])
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,10 +140,10 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, id_, packed, kind = (c.to_numpy() for c in batch.columns)
-        done = kind == OTHER
-        gone = [pa.array(id_[done]), pa.array((packed[done] & 0xFFFFFFFF).astype(np.int32))]
-        h, id_, packed = h[~done], id_[~done], packed[~done]
+        h, id_, packed = (c.to_numpy() for c in batch.columns)
+        done = packed & 3 == OTHER
+        gone = [pa.array(id_[done]), pa.array(_place(packed[done]))]
+        h, id_, packed = h[~done], id_[~done], packed[~done] & ~3
         if last is not None:
             h, id_, packed = (np.concatenate([a, b]) for a, b in zip(last, (h, id_, packed), strict=True))
         if len(h):
@@ -145,7 +151,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] = (h[1:] != h[:-1]) | (id_[1:] != id_[:-1]) | (packed[1:] != packed[:-1])
             h, id_, packed = h[new], id_[new], packed[new]
             again = (h[1:] == h[:-1]) & (packed[1:] >> 32 == packed[:-1] >> 32)
-            yield pa.RecordBatch.from_arrays([pa.array(id_[1:][again]), pa.array((packed[1:][again] & 0xFFFFFFFF).astype(np.int32))], ["id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(id_[1:][again]), pa.array(_place(packed[1:][again]))], ["id", "at"])
             last = (h[-1:], id_[-1:], packed[-1:])
         yield pa.RecordBatch.from_arrays(gone, ["id", "at"])
 
@@ -153,7 +159,8 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """(id, gone): for each document with some, the starts of the windows that also start earlier.
 
-    docs has the columns id (long, not null) and text.
+    docs has the columns id (long, not null) and text. Any others are carried to the windows' pass
+    unread, so that its exchange of docs by id is the same as a later join's and is made once.
     """
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +175,7 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         def make(row: tuple) -> tuple:
             h = word_hashes(_words(row[1]))
             _, least = anchors(h, size)
-            at = np.flatnonzero(np.isin(least, row[2]))
+            at = np.flatnonzero(np.isin(least, row[-1]))
             if not len(at):
                 return h[:0], at, h[:0]
             return mix(rolling(h, size, _BASE))[at], at, mix(rolling(mix(h), size, _BASE2))[at] >> np.uint64(32)
@@ -177,7 +184,7 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
     found = docs.select("id", "text").mapInArrow(send_anchors, _ROWS).repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "id long, at int")
     marked = found.groupBy("id").agg(F.collect_set("at").alias("ats"))
-    rows = docs.select("id", "text").join(marked.hint("shuffle_hash"), "id").select("id", "text", "ats").mapInArrow(send_windows, _ROWS)
+    rows = docs.join(marked.hint("shuffle_hash"), "id").select(*docs.columns, "ats").mapInArrow(send_windows, _ROWS)
     later = rows.repartition("h").sortWithinPartitions("h", F.shiftright("at", 32), "id", "at").mapInArrow(_later, "id long, at int")
     return later.groupBy("id").agg(F.collect_list("at").alias("gone"))
 
@@ -198,14 +205,14 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
     """
     carried = [c for c in docs.columns if c not in outputs and c != text]
     own = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(2**63))).alias("id")
-    gone = repeated_windows(docs.select(own, F.col(f"`{text}`").alias("text")), size)
-    rows = docs.select(own, F.col(f"`{text}`").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_rest")).join(gone.hint("shuffle_hash"), "id", "left")
+    rows = docs.select(own, F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_rest"))
+    rows = rows.join(repeated_windows(rows, size).hint("shuffle_hash"), "id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in batches_of_rows(whole):
                 cols: dict[str, list] = {c: [] for c in outputs}
-                for t, starts in zip(batch.column("_text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+                for t, starts in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
                     words = _words(t)
                     cover = np.zeros(len(words) + 1, np.int32)
                     if starts:
@@ -230,7 +237,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([batch.column("_rest"), *made], ["_rest", *[f"_{c}" for c in outputs]])
 
     schema = T.StructType([T.StructField("_rest", T.StructType([docs.schema[c] for c in carried])), *[T.StructField(f"_{c}", _OUT[c]) for c in outputs]])
-    out = rows.select("_rest", "_text", "gone").mapInArrow(run, schema)
+    out = rows.select("_rest", "text", "gone").mapInArrow(run, schema)
     order = [c for c in docs.columns if c in carried or c == text and "text" in outputs] + [c for c in outputs if c != "text"]
     return out.select(*[F.col(f"_rest.`{c}`").alias(c) if c in carried else F.col("_text" if c == text else f"_{c}").alias(c) for c in order])
 
