@@ -18,19 +18,20 @@ pairs, so large groups cost arithmetic but no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pivolith.llm.blocks import cells, in_blocks, pairs
 from pivolith.llm.common import batches_of_rows, written
 from pivolith.llm.components import components
 from pivolith.llm.neardup import mix
 
-#: Rows that the rotations are learned on at most, and rows of a block.
-SAMPLE, BLOCK = 4096, 256
+#: Rows that the rotations are learned on at most.
+SAMPLE = 4096
 
 
 class Codes:
@@ -79,54 +80,6 @@ class Codes:
         return np.bitwise_count(a ^ b).sum(1)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Of rows sorted by cell (the first three columns): tables that hold whole cells."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b, c = (batch.column(i).to_numpy() for i in range(3))
-        new = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])) + 1
-        edge = [x.column(i)[x.num_rows - 1].as_py() for x in held[-1:] for i in range(3)]
-        if held and edge != [a[0], b[0], c[0]]:
-            new = np.concatenate([[0], new])
-        if len(new):
-            cut = int(new[-1])
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = [batch.slice(cut)]
-        else:
-            held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _in_blocks(rows: DataFrame) -> DataFrame:
-    """rows with the columns key and id, dealt to cells (key, i, j): a key's rows fall into blocks by
-    a hash of id, and each pair of blocks is a cell. A key of one block is one cell."""
-    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
-    each = rows.join(size, "key").select(*rows.columns, own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
-    dealt = each.select("key", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), *[c for c in [*rows.columns, "block"] if c != "key"])
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-
-def _pairs(table: pa.Table, allowed: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of the pairs that meet in a cell: all pairs in one block's cell, else those across."""
-    cell = [table.column(c).to_numpy() for c in ("key", "i", "j")]
-    block = table.column("block").to_numpy()
-    for step in range(1, table.num_rows):
-        same = np.ones(table.num_rows - step, bool)
-        for x in cell:
-            same &= x[step:] == x[:-step]
-        if not same.any():
-            return
-        a = np.flatnonzero(same)
-        b = a + step
-        across = (cell[1][a] == cell[2][a]) | (block[a] != block[b])
-        yield a[across], b[across]
-
-
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, miss: float = 0.005, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Per vector: key, n_links (other vectors at this cosine or above, in double precision),
     component_id (the smallest key that links reach) and kept (it is the own one).
@@ -168,9 +121,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, miss: float = 0.005,
         return np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint32).reshape(-1, codes.tables)
 
     def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _cells(batches):
+        for table in cells(batches):
             code, no, hit = code_of(table), table.column("no").to_numpy(), np.zeros(table.num_rows, bool)
-            for a, b in _pairs(table, codes.first):
+            for a, b in pairs(table):
                 near = codes.distance(code[a], code[b]) <= codes.most
                 a, b = a[near], b[near]
                 own = codes.first(code[a], code[b], no[a])
@@ -178,7 +131,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, miss: float = 0.005,
             yield from table.select(["key", "no", "id"]).filter(pa.array(hit)).to_batches()
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _cells(batches):
+        for table in cells(batches):
             x, id_, copies, block, no = matrix(table.column("v")), *(table.column(c).to_numpy() for c in ("id", "copies", "block", "no"))
             cell = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], 1)
             code = codes.chunks(x)
@@ -207,8 +160,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, miss: float = 0.005,
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["id", "links", "root"])
 
     coded = classes.select("id", "v").mapInArrow(encode, "key long, no int, id long, code binary")
-    chosen = _in_blocks(coded).mapInArrow(promising, "key long, no int, id long").distinct()
-    found = written(_in_blocks(chosen.join(classes, "id").select("key", "no", "id", "copies", "v")).mapInArrow(rerank, "id long, links long, root long"))
+    chosen = in_blocks(coded).mapInArrow(promising, "key long, no int, id long").distinct()
+    found = written(in_blocks(chosen.join(classes, "id").select("key", "no", "id", "copies", "v")).mapInArrow(rerank, "id long, links long, root long"))
     placed = written(components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     of_class = classes.join(links, "id", "left").join(placed, "id", "left").select("v", "id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("component"))

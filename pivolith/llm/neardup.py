@@ -1,6 +1,6 @@
 """Near-duplicate documents: MinHash signatures joined by a multi-index for Hamming distance.
 
-A document's shingle set gives a signature of 112 symbols of 16 bits (b-bit MinHash): symbol k is
+A document's shingle set gives a signature of 112 symbols of 8 bits (b-bit MinHash): symbol k is
 a digest of the least value of hash function k over the set. The signature is split into 16 chunks
 of 7. By the pigeonhole principle two signatures that differ in at most 31 symbols have a chunk with
 at most one difference; all ways to leave one symbol of a chunk out are its keys, so such a
@@ -8,15 +8,18 @@ pair is sure to share a key. Pairs further apart are still found if any chunk ha
 most one difference: at similarity 0.8 a symbol differs with chance 0.2, and all chunks fail
 with chance 0.4233 ** 16 = 1.1e-6.
 
-Keys only propose. In each key's bucket all members are held against the first one, on their full
+Keys only propose. In each key's bucket the members are held against a first one, on their full
 shingle sets; the links give components. Where a bucket still spans several components, its
-members are held against those of the other components, so a group of thousands of copies
-costs one comparison for each member, and no link between different texts is lost. Documents
-with equal sets are one from the start.
+members are paired with those of the other components, in blocks, and the pairs whose signatures are
+close enough are held against each other too, the closest ones first. So a group of thousands of copies costs one
+comparison for each member, and no link between different texts is lost. Documents with equal sets are
+one from the start. Before the keys are exchanged a task sends one document for each of
+its keys; the others have that one as their first.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pivolith.llm.blocks import cells, in_blocks, pairs
 from pivolith.llm.common import ASCII_LOWER, WORD_PATTERN, batches_of_rows, forget, written
 from pivolith.llm.components import components
 
@@ -76,13 +80,30 @@ def signature(own: np.ndarray) -> np.ndarray:
     least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(own), 1024):
         least = np.minimum(least, ((own[at : at + 1024, None] ^ _FLIP) * _TIMES).min(0))
-    return (mix(least) >> np.uint64(48)).astype("<u2")
+    return (mix(least) >> np.uint64(56)).astype(np.uint8)
 
 
 def keys(signatures: np.ndarray) -> np.ndarray:
-    """For each signature its CHUNKS * CHUNK keys: every chunk with each symbol left out."""
+    """For each signature its keys: every chunk with each symbol left out; the key's number is its last 7 bits."""
     parts = signatures.reshape(-1, CHUNKS, CHUNK).astype(np.uint64) * _PLACE
-    return mix(parts.sum(2, dtype=np.uint64)[:, :, None] - parts + _SALT).reshape(len(signatures), SYMBOLS)
+    own = mix(parts.sum(2, dtype=np.uint64)[:, :, None] - parts + _SALT).reshape(len(signatures), SYMBOLS)
+    return (own << np.uint64(7)) | np.arange(SYMBOLS, dtype=np.uint64)
+
+
+def first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of the first key that pairs of signatures share."""
+    differ = (a != b).reshape(-1, CHUNKS, CHUNK)
+    chunk = (differ.sum(2) <= 1).argmax(1)
+    return chunk * CHUNK + np.take_along_axis(differ, chunk[:, None, None], 1)[:, 0].argmax(1)
+
+
+def most_different(percent: int, miss: float = 1e-6) -> int:
+    """Symbols in which the signatures of similar enough sets differ at most, but for a chance of `miss`."""
+    p, tail, k = 1 - percent / 100, 1.0, -1
+    while tail > miss:
+        k += 1
+        tail -= math.comb(SYMBOLS, k) * p**k * (1 - p) ** (SYMBOLS - k)
+    return k
 
 
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -98,40 +119,109 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, e1 long, e2 long, sig binary")
 
 
-def _keys(signed: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in batches_of_rows(whole, 1024):
-                if not batch.num_rows:
-                    continue
-                own = keys(np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(-1, SYMBOLS))
-                each = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), SYMBOLS))
-                yield pa.RecordBatch.from_arrays([pa.array(own.reshape(-1).view(np.int64)), each(0), each(1)], ["key", "id", "n"])
+_ROWS = "h long, id long, n long, key long, lead long, lead_n long"
+_NAMES = ["h", "id", "n", "key", "lead", "lead_n"]
+#: Key rows that a task reduces together, and the kinds of rows that it sends: one that stands for its key
+#: there, the same with others there, and one of the others, which knows its first and is spread by a key of its own.
+TOGETHER = 1_000_000
+ONE, SEVERAL, OTHER = 0, 1, 2
 
-    return signed.select("id", "n", "sig").mapInArrow(run, "key long, id long, n long")
 
+def _reduced(ids: list[np.ndarray], sizes: list[np.ndarray], codes: list[np.ndarray]) -> pa.RecordBatch:
+    id_, n = (np.repeat(np.concatenate(x), SYMBOLS) for x in (ids, sizes))
+    key = keys(np.concatenate(codes)).reshape(-1)
+    order = np.lexsort((id_, key))
+    by = key[order]
+    head = np.ones(len(by), bool)
+    head[1:] = by[1:] != by[:-1]
+    lead = order[np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))]
+    kind = np.where(head, np.where(np.append(~head[1:], False), SEVERAL, ONE), OTHER)
+    back = np.argsort(order)
+    lead, kind = lead[back], kind[back]
+    other = kind == OTHER
+    h = np.where(other, mix(key + mix(id_.view(np.uint64))), key)
+    cols = [h.view(np.int64), id_, (n << 2) | kind, np.where(other, key.view(np.int64), 0), np.where(other, id_[lead], 0), np.where(other, n[lead], 0)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], _NAMES)
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in batches_of_rows(whole):
-                sets = [shingles(t, size).view(np.int64) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "own"])
 
-    return docs.mapInArrow(run, "id long, own array<long>")
+def _send_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    size = 0
+    for whole in batches:
+        for batch in batches_of_rows(whole, 1024):
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, SYMBOLS)))
+                size += batch.num_rows * SYMBOLS
+            if size >= TOGETHER:
+                yield _reduced(*map(list, zip(*held, strict=True)))
+                held, size = [], 0
+    if held:
+        yield _reduced(*map(list, zip(*held, strict=True)))
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and id: the members of keys with two or more, each with a first one."""
+    names = ["key", "id", "n", "lead", "lead_n"]
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, id_, n, key, lead, lead_n = (c.to_numpy() for c in batch.columns)
+        other = n & 3 == OTHER
+        yield pa.RecordBatch.from_arrays([pa.array(c[other]) for c in (key, id_, n >> 2, lead, lead_n)], names)
+        h, id_, kind, n = h[~other], id_[~other], n[~other] & 3, n[~other] >> 2
+        if not len(h):
+            continue
+        known = kind == SEVERAL
+        lead, lead_n = id_, n
+        if held is not None:
+            h, id_, n, lead, lead_n, known = (np.concatenate(x) for x in zip(held, (h, id_, n, lead, lead_n, known), strict=True))
+        same = h[1:] == h[:-1]
+        known[1:] |= same
+        known[:-1] |= same
+        first = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(h)), 0))
+        row = [h, id_, n, lead[first], lead_n[first], known]
+        held = tuple(c[-1:] for c in row)
+        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][known[:-1]]) for c in row[:-1]], names)
+    if held is not None and held[-1][0]:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[:-1]], names)
+
 
+def _close(most: int, percent: int, closest: bool):
+    """Of cells of members with their component and signature: pairs across components to look at, each once.
+
+    closest: only, for each member and component in a cell, the pair with the closest signature, seen
+    from the component with fewer members there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in cells(batches):
+            key, id_, n, component = (table.column(c).to_numpy() for c in ("key", "id", "n", "component"))
+            code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(-1, SYMBOLS)
+            found = [np.zeros((0, 3), np.int64)]
+            for a, b in pairs(table):
+                near = (component[a] != component[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+                a, b = a[near], b[near]
+                far = (code[a] != code[b]).sum(1)
+                a, b, far = a[far <= most], b[far <= most], far[far <= most]
+                own = first_key(code[a], code[b]) == key[a] & 127
+                found.append(np.stack([a[own], b[own], far[own]], 1))
+            a, b, far = np.concatenate(found).T
+            if closest:
+                here = np.unique(np.stack([key, component], 1), axis=0, return_inverse=True, return_counts=True)
+                size = here[2][here[1].reshape(-1)]
+                few = (size[a] < size[b]) | ((size[a] == size[b]) & (component[a] > component[b]))
+                a, b = np.where(few, a, b), np.where(few, b, a)
+                order = np.lexsort((far, component[b], a))
+                a, b = a[order], b[order]
+                head = np.ones(len(a), bool)
+                head[1:] = (a[1:] != a[:-1]) | (component[b[1:]] != component[b[:-1]])
+                a, b = a[head], b[head]
+            x, y = id_[a], id_[b]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    pairs = written(pairs)
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = written(_sets(docs.join(named, "id", "left_semi").select("id", "text"), size))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    out = written(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"))
-    forget(sets)
-    forget(pairs)
-    return out
+    return run
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,27 +239,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     signed = written(_signatures(rows, words))
     usable = signed.where("id is not null and n > 0")
     groups = usable.groupBy("e1", "e2", "n").agg(F.min("id").alias("rep"))
-    firsts = usable.join(groups.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    proposed = _keys(firsts.dropDuplicates(["id"]))
-    shared = proposed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.max("id").alias("last")).where("last <> lead.id").select("key", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"))
-    members = written(proposed.join(shared, "key"))
-    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    first_pairs = members.where(F.col("id") != F.col("lead")).where(near(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = _confirmed(first_pairs, rows, words, percent)
-    found = components(links)
-    # buckets that still span components
-    placed = members.join(found, "id", "left").select("key", "id", "n", "lead", F.coalesce("component", "id").alias("component"))
-    spans = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_ = written(placed.join(spans, "key"))
+    firsts = usable.join(groups.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    sent = firsts.select("id", "n", "sig").mapInArrow(_send_keys, _ROWS)
+    members = written(sent.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_members, "key long, id long, n long, lead long, lead_n long"))
+    near = 100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")
+    links = _confirmed(members.where(near & (F.col("id") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), rows, words, percent)
+    found = written(components(links))
+    for closest in (True, False):  # keys whose members are not yet of one component: first the closest pairs, then all
+        placed = members.join(found, "id", "left").select("key", "id", "n", "lead", F.coalesce("component", "id").alias("component"))
+        leads = found.select(F.col("id").alias("lead"), F.col("component").alias("lead_component"))
+        spans = placed.join(leads, "lead", "left").where(F.coalesce("lead_component", "lead") != F.col("component")).select("key").distinct()
+        open_ = placed.join(spans, "key").select("key", "id", "n", "component").join(firsts.select("id", F.col("sig").alias("code")), "id")
+        more = in_blocks(open_.select("key", "id", "n", "component", "code")).mapInArrow(_close(most_different(percent), percent, closest), "a long, b long")
+        links = links.union(_confirmed(more, rows, words, percent))
+        found = written(components(links))
     forget(members)
-    other = open_.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    more = (
-        open_.where("id <> lead").join(other.join(shared.select("key", "lead"), "key").where("id2 <> lead").drop("lead"), "key")
-        .where((F.col("component") < F.col("component2")) & near(F.col("n"), F.col("n2")))
-        .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-    )
-    final = written(components(links.union(_confirmed(more, rows, words, percent))))
     rep = signed.join(groups, ["e1", "e2", "n"], "left")
-    out = rep.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    out = rep.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     own = F.coalesce("component", "rep", "id")
     return out.select(F.col("id").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
