@@ -59,3 +59,42 @@ def pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         b = a + step
         across = (cell[1][a] == cell[2][a]) | (block[a] != block[b])
         yield a[across], b[across]
+
+
+def in_blocks_across(rows: DataFrame) -> DataFrame:
+    """rows with the columns key, id and component, dealt to cells so that each pair of one key and two
+    components meets once. The largest component of a key only has to meet the others: its rows are
+    dealt to blocks and meet each block of the others; the others meet among themselves."""
+    counts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    top = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("_n")).where("_n > top.c")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    own = lambda b: F.pmod(F.xxhash64("id"), b.cast("long")).cast("int")
+    most, few = blocks(F.col("top.c")), blocks(F.col("_n") - F.col("top.c"))
+    is_top = F.col("component") == F.col("top.component")
+    cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    of_top = F.transform(F.sequence(F.lit(0), few - 1), lambda j: cell(own(most), j))
+    of_few = F.concat(
+        F.transform(F.sequence(F.lit(0), most - 1), lambda i: cell(i, own(few))),
+        F.transform(F.sequence(F.lit(0), few - 1), lambda j: cell(-1 - F.least(j, own(few)), F.greatest(j, own(few)))),
+    )
+    kept = [c for c in rows.columns if c != "key"]
+    each = rows.join(top, "key").select("key", *kept, F.when(is_top, -1).otherwise(own(few)).alias("block"), F.explode(F.when(is_top, of_top).otherwise(of_few)).alias("_cell"))
+    return each.select("key", "_cell.i", "_cell.j", *kept, "block").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def pairs_across(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs of two components that meet in a cell of in_blocks_across()."""
+    cell = [table.column(c).to_numpy() for c in ("key", "i", "j")]
+    block, component = (table.column(c).to_numpy() for c in ("block", "component"))
+    for step in range(1, table.num_rows):
+        same = component[step:] != component[:-step]
+        alike = np.ones(len(same), bool)
+        for x in cell:
+            alike &= x[step:] == x[:-step]
+        if not alike.any():
+            return
+        a = np.flatnonzero(same & alike)
+        b = a + step
+        mixed = (block[a] == -1) != (block[b] == -1)
+        meet = np.where(cell[1][a] >= 0, mixed, (cell[1][a] == -1 - cell[2][a]) | (block[a] != block[b]))
+        yield a[meet], b[meet]

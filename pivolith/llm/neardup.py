@@ -10,8 +10,8 @@ with chance 0.4233 ** 16 = 1.1e-6.
 
 Keys only propose. In each key's bucket the members are held against a first one, on their full
 shingle sets; the links give components. Where a bucket still spans several components, its
-members are paired with those of the other components, in blocks, and the pairs whose signatures are
-close enough are held against each other too, the closest ones first. So a group of thousands of copies costs one
+members and those of the other components meet in blocks, and the pairs whose signatures are
+close enough are held against each other there, without becoming rows. So a group of thousands of copies costs one
 comparison for each member, and no link between different texts is lost. Documents with equal sets are
 one from the start. Before the keys are exchanged a task sends one document for each of
 its keys; the others have that one as their first.
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pivolith.llm.blocks import cells, in_blocks, pairs
+from pivolith.llm.blocks import cells, in_blocks_across, pairs_across
 from pivolith.llm.common import ASCII_LOWER, WORD_PATTERN, batches_of_rows, forget, written
 from pivolith.llm.components import components
 
@@ -187,43 +187,91 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[:-1]], names)
 
 
-def _close(most: int, percent: int, closest: bool):
-    """Of cells of members with their component and signature: pairs across components to look at, each once.
+def _across(table: pa.Table, most: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a table of cells: pairs of two components with close enough signatures, each in the cell of its first key only."""
+    key, n = (table.column(c).to_numpy() for c in ("key", "n"))
+    code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(-1, SYMBOLS)
+    found = [np.zeros((0, 3), np.int64)]
+    for a, b in pairs_across(table):
+        near = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+        a, b = a[near], b[near]
+        far = (code[a] != code[b]).sum(1)
+        a, b, far = a[far <= most], b[far <= most], far[far <= most]
+        own = first_key(code[a], code[b]) == key[a] & 127
+        found.append(np.stack([a[own], b[own], far[own]], 1))
+    a, b, far = np.concatenate(found).T
+    order = np.argsort(far, kind="stable")
+    return a[order], b[order]
 
-    closest: only, for each member and component in a cell, the pair with the closest signature, seen
-    from the component with fewer members there.
-    """
+
+def _promising(most: int, percent: int):
+    """The members of cells that have such a pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in cells(batches):
+            hit = np.zeros(table.num_rows, bool)
+            for x in _across(table, most, percent):
+                hit[x] = True
+            yield from table.select(["key", "id"]).filter(pa.array(hit)).to_batches()
+
+    return run
+
+
+def _linked(most: int, percent: int):
+    """Links between components, on full sets. Closest signatures come first, and components that
+    are one already by links in the same table of cells aren't compared again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in cells(batches):
-            key, id_, n, component = (table.column(c).to_numpy() for c in ("key", "id", "n", "component"))
-            code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(-1, SYMBOLS)
-            found = [np.zeros((0, 3), np.int64)]
-            for a, b in pairs(table):
-                near = (component[a] != component[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
-                a, b = a[near], b[near]
-                far = (code[a] != code[b]).sum(1)
-                a, b, far = a[far <= most], b[far <= most], far[far <= most]
-                own = first_key(code[a], code[b]) == key[a] & 127
-                found.append(np.stack([a[own], b[own], far[own]], 1))
-            a, b, far = np.concatenate(found).T
-            if closest:
-                here = np.unique(np.stack([key, component], 1), axis=0, return_inverse=True, return_counts=True)
-                size = here[2][here[1].reshape(-1)]
-                few = (size[a] < size[b]) | ((size[a] == size[b]) & (component[a] > component[b]))
-                a, b = np.where(few, a, b), np.where(few, b, a)
-                order = np.lexsort((far, component[b], a))
-                a, b = a[order], b[order]
-                head = np.ones(len(a), bool)
-                head[1:] = (a[1:] != a[:-1]) | (component[b[1:]] != component[b[:-1]])
-                a, b = a[head], b[head]
-            x, y = id_[a], id_[b]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            id_, component = (table.column(c).to_numpy() for c in ("id", "component"))
+            a, b = _across(table, most, percent)
+            own = table.column("own")
+            sets = {r: frozenset(own[r].as_py()) for r in set(a.tolist()) | set(b.tolist())}
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            links = []
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                p, q = root(int(component[x])), root(int(component[y]))
+                if p == q:
+                    continue
+                shared = len(sets[x] & sets[y])
+                if 100 * shared >= percent * (len(sets[x]) + len(sets[y]) - shared):
+                    parent[max(p, q)] = min(p, q)
+                    links.append((int(id_[x]), int(id_[y])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
     return run
 
 
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in batches_of_rows(whole):
+                sets = [shingles(t, size).view(np.int64) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "own"])
+
+    return docs.mapInArrow(run, "id long, own array<long>")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    pairs = written(pairs)
+    named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = written(_sets(docs.join(named, "id", "left_semi").select("id", "text"), size))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    out = written(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    forget(sets)
+    forget(pairs)
+    return out
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: key, n_shingles, component_id, kept.
 
@@ -245,14 +293,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     near = 100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")
     links = _confirmed(members.where(near & (F.col("id") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), rows, words, percent)
     found = written(components(links))
-    for closest in (True, False):  # keys whose members are not yet of one component: first the closest pairs, then all
-        placed = members.join(found, "id", "left").select("key", "id", "n", "lead", F.coalesce("component", "id").alias("component"))
-        leads = found.select(F.col("id").alias("lead"), F.col("component").alias("lead_component"))
-        spans = placed.join(leads, "lead", "left").where(F.coalesce("lead_component", "lead") != F.col("component")).select("key").distinct()
-        open_ = placed.join(spans, "key").select("key", "id", "n", "component").join(firsts.select("id", F.col("sig").alias("code")), "id")
-        more = in_blocks(open_.select("key", "id", "n", "component", "code")).mapInArrow(_close(most_different(percent), percent, closest), "a long, b long")
-        links = links.union(_confirmed(more, rows, words, percent))
-        found = written(components(links))
+    # keys whose members are not yet of one component
+    placed = members.join(found, "id", "left").select("key", "id", "lead", F.coalesce("component", "id").alias("component"))
+    leads = found.select(F.col("id").alias("lead"), F.col("component").alias("lead_component"))
+    spans = placed.join(leads, "lead", "left").where(F.coalesce("lead_component", "lead") != F.col("component")).select("key").distinct()
+    known = firsts.select("id", "n", F.col("sig").alias("code"))
+    most = most_different(percent)
+    open_ = placed.join(spans, "key").select("key", "id", "component").join(known, "id").select("key", "id", "component", "n", "code")
+    chosen = written(in_blocks_across(open_).mapInArrow(_promising(most, percent), "key long, id long").distinct())
+    sets = _sets(rows.join(chosen.select("id").distinct(), "id", "left_semi").select("id", "text"), words)
+    held = chosen.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")).join(known.join(sets.dropDuplicates(["id"]), "id"), "id")
+    more = in_blocks_across(held.select("key", "id", "component", "n", "code", "own")).mapInArrow(_linked(most, percent), "a long, b long")
+    found = written(components(links.union(more)))
+    forget(chosen)
     forget(members)
     rep = signed.join(groups, ["e1", "e2", "n"], "left")
     out = rep.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
