@@ -259,17 +259,11 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, own array<long>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    pairs = written(pairs)
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = written(_sets(docs.join(named, "id", "left_semi").select("id", "text"), size))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    out = written(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"))
-    forget(sets)
-    forget(pairs)
-    return out
+    return written(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -291,7 +285,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     sent = firsts.select("id", "n", "sig").mapInArrow(_send_keys, _ROWS)
     members = written(sent.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_members, "key long, id long, n long, lead long, lead_n long"))
     near = 100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")
-    links = _confirmed(members.where(near & (F.col("id") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), rows, words, percent)
+    # the texts move once, by the same plan at every size, and only those that share a key become sets
+    named = members.select("id").distinct().hint("shuffle_hash")
+    sets = written(_sets(rows.join(named, "id", "left_semi").select("id", "text"), words).dropDuplicates(["id"]))
+    links = _confirmed(members.where(near & (F.col("id") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), sets, percent)
     found = written(components(links))
     # keys whose members are not yet of one component
     placed = members.join(found, "id", "left").select("key", "id", "lead", F.coalesce("component", "id").alias("component"))
@@ -301,12 +298,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     most = most_different(percent)
     open_ = placed.join(spans, "key").select("key", "id", "component").join(known, "id").select("key", "id", "component", "n", "code")
     chosen = written(in_blocks_across(open_).mapInArrow(_promising(most, percent), "key long, id long").distinct())
-    sets = _sets(rows.join(chosen.select("id").distinct(), "id", "left_semi").select("id", "text"), words)
-    held = chosen.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")).join(known.join(sets.dropDuplicates(["id"]), "id"), "id")
+    held = chosen.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")).join(known.join(sets, "id"), "id")
     more = in_blocks_across(held.select("key", "id", "component", "n", "code", "own")).mapInArrow(_linked(most, percent), "a long, b long")
     found = written(components(links.union(more)))
-    forget(chosen)
-    forget(members)
+    for done in (chosen, members, sets):
+        forget(done)
     rep = signed.join(groups, ["e1", "e2", "n"], "left")
     out = rep.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     own = F.coalesce("component", "rep", "id")
