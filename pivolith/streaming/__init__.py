@@ -1 +1 @@
-
+"""The engine answers batch queries; it has no streaming operators, and none are pretended here."""
