@@ -1,9 +1,345 @@
-"""Registered queries and their DuckDB SQL."""
+"""Registered queries, one or more for each operator, and their DuckDB SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import os
+import tempfile
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-def oracle_sql():
-    return {}
+from pivolith.functions.formats import Format, format_aggregate, format_number
+from pivolith.functions.numeric import js_text, num
+from pivolith.operators.computed import with_computed
+from pivolith.operators.filters import range_filter, text_filter
+from pivolith.operators.find import find
+from pivolith.operators.order import order_keys
+from pivolith.operators.pivot import KEY, LEVEL, SUBTOTAL, pivot, pivot_long
+from pivolith.plans.spec import Metric, PivotSpec
+from pivolith.sources.catalog import Catalog
+from pivolith.sources.ingest import infer_numbers, nulls
+from pivolith.sources.views import displayed
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable:
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return Catalog(spark, {name: f"{sf_dir}/{name}.parquet"}).get(name)
+
+
+def _rounded(df: DataFrame, digits: int = 2) -> DataFrame:
+    """Sums of doubles depend on their order in the last digits."""
+    return df.select(*[(F.round(F.col(f"`{f.name}`"), digits) + 0.0).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
+def _dated(df: DataFrame) -> DataFrame:
+    return df.withColumn("ship_year", F.year("l_shipdate"))
+
+
+# sources
+
+
+@_query("select * from region")
+def peek_region(spark, d):
+    return Catalog(spark, {"region": f"{d}/region.parquet"}).peek("region")
+
+
+@_query("select column_name as field, case column_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'DOUBLE' then 'double' when 'VARCHAR' then 'string' else 'timestamp' end as type from (describe orders)")
+def source_fields(spark, d):
+    found = Catalog(spark, {"orders": f"{d}/orders.parquet"}).fields("orders")
+    return spark.createDataFrame([(k, v.replace("timestamp_ntz", "timestamp")) for k, v in found.items()], "field string, type string")
+
+
+@_query("select vec_id, len(embedding) as parts, label from embeddings")
+def flatten_embedding(spark, d):
+    from pivolith.sources.catalog import flatten
+
+    return flatten(_t(spark, d, "embeddings")).select("vec_id", F.size(F.split("embedding", ", ")).cast("long").alias("parts"), "label")
+
+
+@_query("select c_custkey, c_name, c_acctbal, c_mktsegment from customer")
+def csv_roundtrip(spark, d):
+    """Export and ingest: what is written is read again, with its types."""
+    from pivolith.sources.ingest import load_file
+    from pivolith.sources.views import export_csv
+
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    path = f"{named.rstrip('/')}/pivolith-export-{os.getpid()}-{abs(hash(d))}.csv"
+    export_csv(_t(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.deleteOnExit(where)
+    part = next(s.getPath().toString() for s in fs.listStatus(where) if s.getPath().getName().startswith("part-"))
+    return load_file(spark, part)[0]
+
+
+# find
+
+
+@_query("select * from orders where o_totalprice >= 100000 and o_totalprice < 200000")
+def find_range(spark, d):
+    return find(_t(spark, d, "orders"), {"o_totalprice": {"$gte": 100000, "$lt": 200000}})
+
+
+@_query("select * from orders where (o_orderstatus = 'F' and o_totalprice > 150000) or o_orderpriority = '1-URGENT'")
+def find_and_or(spark, d):
+    return find(_t(spark, d, "orders"), {"$or": [{"$and": [{"o_orderstatus": "F"}, {"o_totalprice": {"$gt": 150000}}]}, {"o_orderpriority": "1-URGENT"}]})
+
+
+@_query("select * from orders where o_orderstatus in ('F', 'O') and o_orderpriority not in ('5-LOW') and o_custkey <> 7")
+def find_in_nin_ne(spark, d):
+    return find(_t(spark, d, "orders"), {"o_orderstatus": {"$in": ["F", "O"]}, "o_orderpriority": {"$nin": ["5-LOW"]}, "o_custkey": {"$ne": 7}})
+
+
+@_query("select * from customer where not (c_mktsegment = 'BUILDING' or c_acctbal < 0) and not (c_nationkey > 20) and c_custkey % 7 = 3 and c_name is not null")
+def find_nor_not_mod_exists(spark, d):
+    return find(_t(spark, d, "customer"), {"$nor": [{"c_mktsegment": "BUILDING"}, {"c_acctbal": {"$lt": 0}}], "c_nationkey": {"$not": {"$gt": 20}}, "c_custkey": {"$mod": [7, 3]}, "c_name": {"$exists": True}})
+
+
+@_query("select * from part where regexp_matches(p_name, '^(RED|hot) .*g', 'i')")
+def find_regex(spark, d):
+    return find(_t(spark, d, "part"), {"p_name": {"$regex": "^(RED|hot) .*g", "$options": "i"}})
+
+
+@_query("select vec_id, label from embeddings where len(embedding) = 64")
+def find_size(spark, d):
+    return find(_t(spark, d, "embeddings"), {"embedding": {"$size": 64}}, {"vec_id": 1, "label": 1})
+
+
+@_query("select o_orderkey, o_totalprice from orders where o_orderstatus = 'O'")
+def find_projection(spark, d):
+    return find(_t(spark, d, "orders"), {"o_orderstatus": "O"}, {"o_orderkey": 1, "o_totalprice": 1})
+
+
+@_query("select * from orders order by o_orderkey limit 50 offset 100")
+def skip_limit(spark, d):
+    return find(_t(spark, d, "orders"), skip=100, limit=50, order_by=["o_orderkey"])
+
+
+@_query("select event_id, user_id, event_type from events where cast(json_extract(props, '$.k') as double) >= 50")
+def events_json_field(spark, d):
+    return find(_t(spark, d, "events"), {"props.k": {"$gte": 50}}, {"event_id": 1, "user_id": 1, "event_type": 1})
+
+
+@_query("select * from customer where c_acctbal > 5000 and c_mktsegment = 'BUILDING'")
+def find_local(spark, d):
+    """The lenient form: order comparisons on numbers."""
+    return find(_t(spark, d, "customer"), {"c_acctbal": {"$gt": "5 000"}, "c_mktsegment": "BUILDING"}, lenient=True)
+
+
+@_query("select * from customer where contains(lower(c_name), '12') and contains(lower(c_mktsegment), 'build')")
+def filter_text(spark, d):
+    return text_filter(_t(spark, d, "customer"), {"c_name": "12", "c_mktsegment": " Build "})
+
+
+@_query("select * from lineitem where l_quantity between 10 and 20 and l_discount <= 0.05")
+def filter_range(spark, d):
+    return range_filter(_t(spark, d, "lineitem"), {"l_quantity": (10, 20), "l_discount": (None, 0.05)})
+
+
+# aggregates
+
+
+def _single(agg: str):
+    def run(spark, d):
+        return _rounded(pivot(_t(spark, d, "lineitem"), PivotSpec(("l_returnflag",), (), (Metric("l_extendedprice", agg),))), 2)
+
+    run.__name__ = f"agg_{agg}"
+    said = {"count": "cast(count(*) as double)"}.get(agg, f"round({agg}(l_extendedprice), 2)")
+    return _query(f"""select case when grouping(l_returnflag) = 1 then '汇总' else l_returnflag end as l_returnflag, cast(1 - grouping(l_returnflag) as int) as __level, false as __is_subtotal, {said} as "l_extendedprice {agg}"
+        from lineitem group by grouping sets ((l_returnflag), ())""")(run)
+
+
+for _agg in ("sum", "count", "min", "max", "avg"):
+    _single(_agg)
+
+
+@_query("select l_returnflag, l_linestatus, cast(2 as int) as __level, false as __is_subtotal, round(sum(l_quantity), 2) as \"l_quantity sum\" from lineitem group by 1, 2")
+def group_two_levels(spark, d):
+    out = pivot(_t(spark, d, "lineitem"), PivotSpec(("l_returnflag", "l_linestatus"), (), (Metric("l_quantity"),), subtotals=False))
+    return _rounded(out.where(F.col(LEVEL) == 2))
+
+
+@_query("select cast(0 as int) as __level, false as __is_subtotal, round(sum(o_totalprice), 2) as \"o_totalprice sum\", cast(count(*) as double) as \"o_orderkey count\" from orders")
+def group_none(spark, d):
+    return _rounded(pivot(_t(spark, d, "orders"), PivotSpec((), (), (Metric("o_totalprice"), Metric("o_orderkey", "count")))))
+
+
+_STATUS = ("F", "O", "P")
+
+
+@_query("select o_orderpriority, cast(1 as int) as __level, false as __is_subtotal, " + ", ".join(f"round(coalesce(sum(o_totalprice) filter (o_orderstatus = '{s}'), 0), 2) as \"{s}|o_totalprice sum\"" for s in _STATUS) + " from orders group by 1")
+def pivot_one_col(spark, d):
+    return _rounded(pivot(_t(spark, d, "orders"), PivotSpec(("o_orderpriority",), ("o_orderstatus",), (Metric("o_totalprice"),)), keys=list(_STATUS)).where(F.col(LEVEL) == 1))
+
+
+@_query("""select coalesce(l_returnflag, '') as r1, l_linestatus || chr(1) || cast(year(l_shipdate) as varchar) as k, cast(1 - grouping(l_returnflag) as int) as lvl, round(avg(l_discount), 6) as d, round(max(l_tax), 6) as t
+    from lineitem group by grouping sets ((l_returnflag, l_linestatus, year(l_shipdate)), (l_linestatus, year(l_shipdate)))""")
+def pivot_two_cols(spark, d):
+    long = pivot_long(_dated(_t(spark, d, "lineitem")), PivotSpec(("l_returnflag",), ("l_linestatus", "ship_year"), (Metric("l_discount", "avg"), Metric("l_tax", "max"))))
+    return _rounded(long.select("r1", F.col(KEY).alias("k"), F.col(LEVEL).alias("lvl"), F.col("l_discount avg").alias("d"), F.col("l_tax max").alias("t")), 6)
+
+
+@_query("""select case when grouping(c_mktsegment) = 1 then '汇总' else c_mktsegment end as c_mktsegment, cast(1 - grouping(c_mktsegment) as int) as __level, false as __is_subtotal, cast(count(*) as double) as "c_custkey count"
+    from customer group by grouping sets ((c_mktsegment), ())""")
+def pivot_default_metric(spark, d):
+    return pivot(_t(spark, d, "customer"), PivotSpec(("c_mktsegment",)))
+
+
+@_query("""select case when grouping(l_returnflag) = 1 then '汇总' else l_returnflag end as l_returnflag, case when grouping(l_linestatus) = 1 then '' else l_linestatus end as l_linestatus,
+    cast(2 - grouping(l_returnflag) - grouping(l_linestatus) as int) as __level, (grouping(l_linestatus) = 1 and grouping(l_returnflag) = 0) as __is_subtotal, round(sum(l_quantity), 2) as "l_quantity sum", round(avg(l_discount), 2) as "l_discount avg"
+    from lineitem group by rollup (l_returnflag, l_linestatus)""")
+def subtotals_2(spark, d):
+    return _rounded(pivot(_t(spark, d, "lineitem"), PivotSpec(("l_returnflag", "l_linestatus"), (), (Metric("l_quantity"), Metric("l_discount", "avg")))))
+
+
+@_query("""select case when grouping(l_returnflag) = 1 then '汇总' else l_returnflag end as l_returnflag, case when grouping(l_linestatus) = 1 then '' else l_linestatus end as l_linestatus, case when grouping(year(l_shipdate)) = 1 then '' else cast(year(l_shipdate) as varchar) end as ship_year,
+    cast(3 - grouping(l_returnflag) - grouping(l_linestatus) - grouping(year(l_shipdate)) as int) as __level, (grouping(year(l_shipdate)) = 1 and grouping(l_returnflag) = 0) as __is_subtotal, cast(count(*) as double) as "l_orderkey count", round(min(l_quantity), 2) as "l_quantity min"
+    from lineitem group by rollup (l_returnflag, l_linestatus, year(l_shipdate))""")
+def subtotals_3(spark, d):
+    return _rounded(pivot(_dated(_t(spark, d, "lineitem")), PivotSpec(("l_returnflag", "l_linestatus", "ship_year"), (), (Metric("l_orderkey", "count"), Metric("l_quantity", "min")))))
+
+
+@_query("select '汇总' as o_orderpriority, cast(0 as int) as __level, false as __is_subtotal, " + ", ".join(f"round(coalesce({a}(o_totalprice) filter (o_orderstatus = '{s}'), 0), 2) as \"{s}|o_totalprice {a}\"" for s in _STATUS for a in ("sum", "avg")) + " from orders")
+def grand_total(spark, d):
+    return _rounded(pivot(_t(spark, d, "orders"), PivotSpec(("o_orderpriority",), ("o_orderstatus",), (Metric("o_totalprice"), Metric("o_totalprice", "avg"))), keys=list(_STATUS)).where(F.col(LEVEL) == 0))
+
+
+_FULL = PivotSpec(("l_returnflag", "l_linestatus"), ("ship_year",), (Metric("l_extendedprice"), Metric("l_quantity", "avg"), Metric("l_orderkey", "count"), Metric("net", "sum"), Metric("share", "sum")))
+_FORMULAS = {"net": "l_extendedprice * (1 - l_discount)", "share": "DIV(l_discount, l_quantity) * 100"}
+
+
+@_query("""select coalesce(case when grouping(l_returnflag) = 0 then l_returnflag end, '') as r1, coalesce(case when grouping(l_linestatus) = 0 then l_linestatus end, '') as r2, cast(year(l_shipdate) as varchar) as k,
+    cast(2 - grouping(l_returnflag) - grouping(l_linestatus) as int) as lvl, round(sum(l_extendedprice), 2) as price, round(avg(l_quantity), 2) as quantity, cast(count(*) as double) as n, round(sum(l_discount) / sum(l_quantity) * 100, 2) as share
+    from lineitem where l_quantity between 5 and 45 and contains(lower(l_returnflag), 'r') is not null and l_tax >= 0.01
+    group by grouping sets ((l_returnflag, l_linestatus, year(l_shipdate)), (l_returnflag, year(l_shipdate)), (year(l_shipdate)))""")
+def pivot_full(spark, d):
+    """Filter, range, composite levels, subtotals, total, aggregates and a ratio of sums."""
+    rows = find(_t(spark, d, "lineitem"), {"l_tax": {"$gte": 0.01}})
+    rows = _dated(range_filter(rows, {"l_quantity": (5, 45)}))
+    long = pivot_long(rows, _FULL, _FORMULAS)
+    return _rounded(long.select("r1", "r2", F.col(KEY).alias("k"), F.col(LEVEL).alias("lvl"), F.col("l_extendedprice sum").alias("price"), F.col("l_quantity avg").alias("quantity"), F.col("l_orderkey count").alias("n"), F.col("share sum").alias("share")))
+
+
+# formulas
+
+
+@_query("select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) as charge, case when l_quantity > 25 and l_discount < 0.05 then 1.0::double else greatest(l_quantity, 10.0) end as pick from lineitem")
+def computed_row(spark, d):
+    df = with_computed(_t(spark, d, "lineitem"), {"charge": "l_extendedprice * (1 - l_discount) * (1 + l_tax)", "pick": "l_quantity > 25 && l_discount < 0.05 ? 1 : Math.max(l_quantity, 10)"})
+    return _rounded(df.select("l_orderkey", "l_linenumber", "charge", "pick"), 6)
+
+
+@_query("select o_orderkey, round(o_totalprice * 0.1, 4) as fee, round(o_totalprice * 0.1 + o_totalprice, 4) as gross, floor((o_totalprice * 0.1 + o_totalprice) / 1000) as thousands from orders")
+def computed_chain(spark, d):
+    df = with_computed(_t(spark, d, "orders"), {"thousands": "Math.floor(gross / 1000)", "gross": "fee + o_totalprice", "fee": "o_totalprice * 0.1"})
+    return _rounded(df.select("o_orderkey", "fee", "gross", "thousands"), 4)
+
+
+@_query("select n_nationkey, 0.0::double as a, 0.0::double as b, 0.0::double as after, n_nationkey + 1.0::double as free from nation")
+def computed_cycle(spark, d):
+    return with_computed(_t(spark, d, "nation"), {"a": "b + 1", "b": "a + 1", "after": "a * 2", "free": "n_nationkey + 1"}).select("n_nationkey", "a", "b", "after", "free")
+
+
+def _ratio(name: str, level: int, sets: str, sql_rows: str):
+    def run(spark, d):
+        long = pivot_long(_t(spark, d, "lineitem"), PivotSpec(("l_returnflag", "l_linestatus"), (), (Metric("ratio", "avg"),)), {"ratio": "l_tax / l_discount"})
+        return _rounded(long.where(F.col(LEVEL) == level).select("r1", "r2", F.col("ratio avg").alias("ratio")), 6)
+
+    run.__name__ = name
+    return _query(f"select {sql_rows}, round(sum(l_tax) / sum(l_discount), 6) as ratio from lineitem {sets}")(run)
+
+
+_ratio("computed_ratio_leaf", 2, "group by 1, 2", "l_returnflag as r1, l_linestatus as r2")
+_ratio("computed_ratio_subtotal", 1, "group by 1", "l_returnflag as r1, '' as r2")
+_ratio("computed_ratio_total", 0, "", "'' as r1, '' as r2")
+
+
+@_query("""select l_orderkey, l_linenumber, round(case when l_discount = 0 then 9 else l_tax / l_discount end, 6) as safe, round(case when l_discount = 0 then -1 else l_tax / l_discount end, 6) as caught,
+    round(case when l_discount <> 0 then l_tax / l_discount else 7 end, 6) as fallback from lineitem""")
+def iferror_div(spark, d):
+    rows = _t(spark, d, "lineitem")
+    one = with_computed(rows, {"safe": "DIV(l_tax, l_discount, 9)", "caught": "IFERROR(l_tax / l_discount, -1)"})
+    return _rounded(with_computed(one, {"fallback": "l_tax / l_discount"}, fallback=7).select("l_orderkey", "l_linenumber", "safe", "caught", "fallback"), 6)
+
+
+_TEXTS = [(None, 0.0), ("", 0.0), ("abc", 0.0), ("12%", 12.0), ("$12", 0.0), ("1,234", 1.234), ("1,234,567", 1.234), ("1,234.56", 1234.56), ("1.234,56", 1234.56), ("1 234,5", 1234.5), ("1 234,5", 1234.5), ("2024-01", 2024.0), ("1e3", 1000.0), ("-.5x", -0.5)]
+
+
+@_query("select * from (values " + ", ".join(f"({i}, {v}::double)" for i, (_, v) in enumerate(_TEXTS)) + ") t(i, x)")
+def num_parse(spark, d):
+    rows = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(_TEXTS)], "i int, s string")
+    return rows.select("i", num(F.col("s"), T.StringType()).alias("x"))
+
+
+@_query("select l_orderkey, l_linenumber, cast(cast(l_quantity as bigint) as varchar) as q from lineitem")
+def label_text(spark, d):
+    rows = _t(spark, d, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", js_text(F.col("l_quantity"), T.DoubleType()).alias("q"))
+
+
+# order, formats, ingest rules
+
+
+@_query("""select o_orderpriority, cast(row_number() over (order by s desc, o_orderpriority) as int) as place from (select o_orderpriority, sum(o_totalprice) as s from orders group by 1)""")
+def sort_metric(spark, d):
+    table = pivot(_t(spark, d, "orders"), PivotSpec(("o_orderpriority",), (), (Metric("o_totalprice"),)))
+    keys = order_keys(table, ("o_orderpriority",), "o_totalprice sum", descending=True)
+    return table.select("*", F.row_number().over(Window.orderBy(*keys)).alias("place")).where(F.col(LEVEL) == 1).select("o_orderpriority", "place")
+
+
+@_query("""with leaf as (select c_mktsegment as s, cast(c_nationkey as varchar) as n, avg(c_acctbal) as v from customer group by all), g as (select s, sum(v) as w from leaf group by s),
+    every as (select leaf.s, n, w, 0 as sub, leaf.v from leaf join g using (s) union all select g.s, '', w, 1, (select avg(c_acctbal) from customer where c_mktsegment = g.s) from g)
+    select s as c_mktsegment, n as c_nationkey, cast(row_number() over (order by w, s, sub, v, n) as int) as place from every""")
+def sort_hierarchy(spark, d):
+    rows = ("c_mktsegment", "c_nationkey")
+    table = pivot(_t(spark, d, "customer"), PivotSpec(rows, (), (Metric("c_acctbal", "avg"),)))
+    keys = order_keys(table, rows, "c_acctbal avg")
+    return table.select("*", F.row_number().over(Window.orderBy(*keys)).alias("place")).where(F.col(LEVEL) > 0).select(*rows, "place")
+
+
+@_query("select o_orderkey, '$' || format('{:,.2f}', floor(o_totalprice * 100 + 0.5) / 100) as money, format('{:.1f}', floor(o_totalprice / 10000 * 10 + 0.5) / 10) || '元' as wan, cast(cast(floor(o_totalprice + 0.5) as bigint) as varchar) as whole from orders")
+def format_money(spark, d):
+    x = F.col("o_totalprice")
+    return _t(spark, d, "orders").select("o_orderkey", format_number(x, Format(currency="$")).alias("money"), format_number(x, Format(1, False, "元", "suffix", True)).alias("wan"), format_aggregate(x, "count").alias("whole"))
+
+
+@_query("""select case when grouping(o_orderstatus) = 1 then '汇总' else o_orderstatus end as o_orderstatus, cast(count(*) as varchar) as "o_orderkey count", format('{:,.2f}', floor(max(o_totalprice) * 100 + 0.5) / 100) as "o_totalprice max" from orders group by grouping sets ((o_orderstatus), ())""")
+def export_displayed(spark, d):
+    return displayed(pivot(_t(spark, d, "orders"), PivotSpec(("o_orderstatus",), (), (Metric("o_orderkey", "count"), Metric("o_totalprice", "max")))))
+
+
+@_query("select * from (values (1, null::double, 5::bigint, 'x'), (2, 5.0, null, '1,000'), (3, 1000.0, 7, null)) t(i, mixed, whole, said)")
+def infer_types(spark, d):
+    rows = spark.createDataFrame([(1, "abc", "5", "x"), (2, "5", "n/a", "1,000"), (3, "1e3", "7", "NA")], "i int, mixed string, whole string, said string")
+    return infer_numbers(rows.select("i", *[nulls(F.col(c)).alias(c) for c in ("mixed", "whole", "said")]))
+
+
+@_query("""select l_shipmonth as ship_month, cast(1 as int) as __level, false as __is_subtotal, round(sum(l_quantity), 2) as "l_quantity sum" from (select strftime(l_shipdate, '%Y-%m') as l_shipmonth, l_quantity from lineitem) group by 1""")
+def pivot_many_rows(spark, d):
+    rows = _t(spark, d, "lineitem").withColumn("ship_month", F.date_format("l_shipdate", "yyyy-MM"))
+    return _rounded(pivot(rows, PivotSpec(("ship_month",), (), (Metric("l_quantity"),))).where(F.col(LEVEL) == 1))
+
+
+__all__ = ["SUBTOTAL", "oracle_sql", "queries"]
