@@ -31,10 +31,11 @@ from pivolith.llm.common import batches_of_rows
 #: Fixed: the byte-level pre-token pattern of this vocabulary.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Where cutting at every space and line feed would differ from the pattern.
-_IRREGULAR = re.compile(r"[ \n]\s|[^\S \n]|\A\s|\s\Z|[\x1c-\x1f\x85᠎​﻿]")
-#: Entries of the word cache of a Python worker (about 150 MB); it is emptied when full.
+_BLANK = {"", *" \t\n\r\x0b\x0c\x00"}
+_IRREGULAR = re.compile(r"\x00|[ \n]\s|[^\S \n]|\A\s|\s\Z|[\x1c-\x1f\x85᠎​﻿]")
+#: Entries of the word cache of a Python worker (about 250 MB); it is emptied when full.
 #: A single text with more distinct words than that still gets them all.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_300_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -73,10 +74,13 @@ class Encoder:
             pair = self.ids[a], self.ids[b]
             self.rank[pair] = r
             self.parts.setdefault(self.ids[a + b], (*pair, r))
-        #: Longest vocabulary entry that ends in a byte.
-        self.reach = [1] * 256
-        for k in self.ids:
-            self.reach[k[-1]] = max(self.reach[k[-1]], len(k))
+        #: The vocabulary entries by their bytes from the last to the first; an entry stands under -1.
+        self.ending: dict = {}
+        for k, v in self.ids.items():
+            node = self.ending
+            for b in reversed(k):
+                node = node.setdefault(b, {})
+            node[-1] = v
         self.pattern = regex.compile(PRETOKEN)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.apart: dict[tuple[int, int], bool] = {}
@@ -114,7 +118,7 @@ class Encoder:
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids (little-endian, four bytes each) of distinct pre-tokens, by one trie traversal."""
         todo = sorted((w.encode(), w) for w in words)
-        ids, reach, apart, packed = self.ids, self.reach, self.apart, self.packed
+        ending, apart, packed, stays_apart = self.ending, self.apart, self.packed, self.stays_apart
         before, last, start = b"", [-1], [-1]  # states of the path, one for each depth
         out = {}
         for word, text in todo:
@@ -126,17 +130,22 @@ class Encoder:
                 while word[shared] == before[shared]:
                     shared += 1
             del last[shared + 1 :], start[shared + 1 :]
-            for end in range(shared + 1, n + 1):
-                for begin in range(max(0, end - reach[word[end - 1]]), end):
-                    token = ids.get(word[begin:end])
-                    if token is None:
-                        continue
-                    left = last[begin]
+            for end in range(shared, n):
+                node, begin, fits = ending, end + 1, []
+                while begin:
+                    begin -= 1
+                    node = node.get(word[begin])
+                    if node is None:
+                        break
+                    if -1 in node:
+                        fits.append((node[-1], begin))
+                for token, begin in reversed(fits):  # the longest first
                     if begin:
+                        left = last[begin]
                         if left < 0:
                             continue
                         ok = apart.get((left, token))
-                        if not (self.stays_apart(left, token) if ok is None else ok):
+                        if not (stays_apart(left, token) if ok is None else ok):
                             continue
                     last.append(token)
                     start.append(begin)
@@ -153,19 +162,32 @@ class Encoder:
             before = word
         return out
 
+    # Keys of the cache: a word alone stands for a space and the word; one that starts with a line
+    # feed, or with a null character before it, stands for itself.
+
+    @staticmethod
+    def _said(key: str) -> str:
+        return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
+
+    @staticmethod
+    def _key(word: str) -> str:
+        return word[1:] if word[0] == " " and word[1:2] not in _BLANK else "\0" + word
+
     def _learn(self, keys: list[str]) -> None:
-        """Put keys into the cache. A key is the pattern's own cut, so it is one or more pre-tokens."""
-        cuts = {k: self.pattern.findall(k) for k in keys}
-        self.cache.update(self.encode_words([w for w in {w for c in cuts.values() for w in c} if w not in self.cache]))
-        self.cache.update((k, b"".join(map(self.cache.__getitem__, c))) for k, c in cuts.items() if len(c) > 1)
+        """Put keys into the cache. What a key stands for is the pattern's own cut, so one or more pre-tokens."""
+        cuts = {k: self.pattern.findall(self._said(k)) for k in keys}
+        new = [w for w in {w for c in cuts.values() for w in c} if self._key(w) not in self.cache]
+        self.cache.update((self._key(w), ids) for w, ids in self.encode_words(new).items())
+        self.cache.update((k, b"".join([self.cache[self._key(w)] for w in c])) for k, c in cuts.items())
 
     def _cut(self, text: str) -> list[str]:
         """Keys of a text in order. A single space starts a new pre-token and a single line
         feed is one; any other white space goes through the pattern itself."""
         if _IRREGULAR.search(text):
-            return self.pattern.findall(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[w if w[0] == "\n" else " " + w for w in rest]]
+            return ["\0" + w for w in self.pattern.findall(text)]
+        keys = text.replace("\n", " \n").split(" ")
+        keys[0] = "\0" + keys[0]
+        return keys
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (little-endian, four bytes each); none for a null text."""
