@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pivolith.llm.common import batches_of_rows
+from pivolith.llm.common import batches_of_rows, ship
 
 #: Fixed: the byte-level pre-token pattern of this vocabulary.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -267,6 +267,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", keep: tu
                 made = [pa.array(cols[c], _COLUMNS[c][1]) for c in outputs]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], [*keep, *outputs])
 
+    ship(docs.sparkSession)
     read = docs.select(*keep, docs[text].alias("_text"))
     schema = T.StructType([*[read.schema[c] for c in keep], *[T.StructField(c, _COLUMNS[c][0]) for c in outputs]])
     return read.mapInArrow(run, schema)

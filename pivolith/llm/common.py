@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +17,21 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package's code to the Python workers, once for a session's context. They need not
+    have it installed, on a cluster or where the driver found it by its working directory."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pivolith_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    path = os.path.join(tempfile.mkdtemp(prefix="pivolith-"), "pivolith.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(path)
+    sc._pivolith_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

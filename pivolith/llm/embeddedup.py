@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pivolith.llm.blocks import cells, in_blocks, pairs
-from pivolith.llm.common import batches_of_rows, written
+from pivolith.llm.common import batches_of_rows, ship, written
 from pivolith.llm.components import components
 from pivolith.llm.neardup import mix
 
@@ -90,6 +90,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, miss: float = 0.005,
     often as they occur; rows with the same key are vectors of their own with a common
     component. A null key takes no part: no links, no component. An empty table gives an empty one.
     """
+    ship(vectors.sparkSession)
     value = F.col(embedding).cast("array<double>")
     size = F.aggregate(F.coalesce(value, F.array().cast("array<double>")), F.lit(0.0), lambda a, x: a + F.when(x.isNull() | F.isnan(x), F.lit(float("inf"))).otherwise(F.abs(x)))
     rows = vectors.select(F.col(key).cast("long").alias("id"), value.alias("v"), ((size > 0) & (size < float("inf"))).alias("good"))

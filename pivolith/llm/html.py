@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pivolith.llm.common import batches_of_rows
+from pivolith.llm.common import batches_of_rows, ship
 
 #: Fixed: elements of HTML that start a block of their own, that are empty, and whose content is no text.
 BLOCK = frozenset(
@@ -346,6 +346,7 @@ def extract_main_text(pages: DataFrame, chain: Chain | None = None, html: str =
     read, whatever its length; rows are independent, so repeated rows repeat; an empty table
     gives an empty one; other columns aren't read. No shuffle.
     """
+    ship(pages.sparkSession)
     chain = chain or default_chain()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pivolith.llm.common import batches_of_rows
+from pivolith.llm.common import batches_of_rows, ship
 
 #: Hash buckets of the n-grams.
 WIDTH = 4096
@@ -122,6 +122,7 @@ def held_out(key: str) -> Column:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from the rows with a text and a language outside the held-out quarter."""
+    ship(docs.sparkSession)
     usable = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(~held_out("k") & F.col("t").isNotNull() & F.col("l").isNotNull())
     names = [r["l"] for r in usable.groupBy("l").count().orderBy(F.desc("count"), "l").limit(sample_rows).collect()]
     each = max(1, min(per_language, sample_rows // max(1, len(names))))
@@ -148,6 +149,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", ambiguous: float
     does every text if nothing could be learned. Whole texts are read; a repeated row gets the same
     answer; an empty table stays empty. No shuffle.
     """
+    ship(docs.sparkSession)
     added = ("lang_pred", "score", "ambiguous")
     keep = [c for c in docs.columns if c not in added]
     at = keep.index(text)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pivolith.llm.blocks import cells, in_blocks_across, pairs_across
-from pivolith.llm.common import ASCII_LOWER, WORD_PATTERN, batches_of_rows, forget, written
+from pivolith.llm.common import ASCII_LOWER, WORD_PATTERN, batches_of_rows, forget, ship, written
 from pivolith.llm.components import components
 
 CHUNKS, CHUNK = 16, 7
@@ -277,6 +277,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     nothing, has a null component_id and isn't kept. Long texts are read whole; an empty table
     gives an empty one; other columns aren't read.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed = written(_signatures(rows, words))
     usable = signed.where("id is not null and n > 0")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pivolith.llm.common import batches_of_rows, written
+from pivolith.llm.common import batches_of_rows, ship, written
 
 #: Groups that a length is dealt to, so that no task holds one frequent length.
 SALTS = 64
@@ -177,6 +177,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, closing_id: int
     twice. Ties in length are ordered by key. An empty table gives no pieces. Columns other than
     key and text are not read. The driver sees at most capacity * SALTS counts.
     """
+    ship(docs.sparkSession)
     rows = written(_cut_documents(docs, vocabulary, capacity, closing_id, key, text, ids))
     items = rows.select(
         "*",

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pivolith.llm.common import WORD_PATTERN, batches_of_rows
+from pivolith.llm.common import WORD_PATTERN, batches_of_rows, ship
 from pivolith.llm.neardup import mix, word_hashes
 
 WINDOW, GRAM = 20, 8
@@ -203,6 +203,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
     before all others. Rows that share a key count as one document and are not held
     against each other. Other columns are carried over; an empty table stays empty.
     """
+    ship(docs.sparkSession)
     carried = [c for c in docs.columns if c not in outputs and c != text]
     own = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(2**63))).alias("id")
     rows = docs.select(own, F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_rest"))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pivolith.llm.common import batches_of_rows
+from pivolith.llm.common import batches_of_rows, ship
 
 #: (host, path, verdict); a rule fits its host and all subdomains and paths that start with its path.
 RULES = (
@@ -114,6 +114,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     empty texts. Rows are judged alone, so repeated rows repeat; an empty table gives an empty
     one; columns other than key and url are not read. No shuffle.
     """
+    ship(pages.sparkSession)
     ranked = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r[2] != "block", r[0] + r[1]))
     globs = [f"*.{escape(h)}{escape(p)}**" for h, p, _ in ranked]
     kind = pages.schema[key].dataType.simpleString()
