@@ -21,6 +21,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -74,18 +75,22 @@ class Encoder:
             pair = self.ids[a], self.ids[b]
             self.rank[pair] = r
             self.parts.setdefault(self.ids[a + b], (*pair, r))
-        #: The vocabulary entries by their bytes from the last to the first; an entry stands under -1.
-        self.ending: dict = {}
-        for k, v in self.ids.items():
-            node = self.ending
-            for b in reversed(k):
-                node = node.setdefault(b, {})
-            node[-1] = v
         self.pattern = regex.compile(PRETOKEN)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.apart: dict[tuple[int, int], bool] = {}
         self.cache: dict[str | int, bytes] = {}
 
+    @cached_property
+    def ending(self) -> dict:
+        """The vocabulary entries by their bytes from the last to the first; an entry stands under -1."""
+        top: dict = {}
+        for k, v in self.ids.items():
+            node = top
+            for b in reversed(k):
+                node = node.setdefault(b, {})
+            node[-1] = v
+        return top
+
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens along one edge of a token's merge tree, with the rank that ends each."""
         out, until = [], float("inf")

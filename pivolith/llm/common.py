@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words are runs of anything but the six ASCII white-space characters.
@@ -76,6 +79,14 @@ def forget(df: DataFrame) -> None:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release() -> None:
+    """At the end of a task, give freed memory back to the system: Python workers live on and share
+    an executor's memory with it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def batches_of_rows(batch, size: int = 256):
     """Slices of an Arrow batch, so that few rows exist as Python objects at a time."""
     for start in range(0, batch.num_rows, size):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pivolith.llm.common import batches_of_rows, ship
+from pivolith.llm.common import batches_of_rows, release, ship
 
 #: Hash buckets of the n-grams.
 WIDTH = 4096
@@ -156,12 +156,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text", ambiguous: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in batches_of_rows(whole, 128):
+            for batch in batches_of_rows(whole, 64):
                 x, has = profile(batch.column(at).to_pylist())
                 names, score, lead = model.decode(x)
                 has &= bool(model.langs)
                 made = [pa.array([n if h else "und" for n, h in zip(names, has, strict=True)], pa.string()), pa.array(np.where(has, score, 0.0)), pa.array(~has | (lead < ambiguous))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*keep, *added])
+        release()
 
     from pyspark.sql import types as T
 

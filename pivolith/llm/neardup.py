@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pivolith.llm.blocks import cells, in_blocks_across, pairs_across
-from pivolith.llm.common import ASCII_LOWER, WORD_PATTERN, batches_of_rows, forget, ship, written
+from pivolith.llm.common import ASCII_LOWER, WORD_PATTERN, batches_of_rows, forget, release, ship, written
 from pivolith.llm.components import components
 
 CHUNKS, CHUNK = 16, 7
@@ -52,7 +52,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
-    if len(_WORDS) > 400_000:
+    if len(_WORDS) > 150_000:
         _WORDS.clear()
     try:
         return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
@@ -115,6 +115,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
                 e2 = np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64)
                 sig = [signature(s).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(e1.view(np.int64)), pa.array(e2.view(np.int64)), pa.array(sig, pa.binary())], ["id", "n", "e1", "e2", "sig"])
+        release()
 
     return docs.mapInArrow(run, "id long, n long, e1 long, e2 long, sig binary")
 
@@ -123,7 +124,7 @@ _ROWS = "h long, id long, n long, key long, lead long, lead_n long"
 _NAMES = ["h", "id", "n", "key", "lead", "lead_n"]
 #: Key rows that a task reduces together, and the kinds of rows that it sends: one that stands for its key
 #: there, the same with others there, and one of the others, which knows its first and is spread by a key of its own.
-TOGETHER = 1_000_000
+TOGETHER = 400_000
 ONE, SEVERAL, OTHER = 0, 1, 2
 
 
@@ -157,6 +158,7 @@ def _send_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = [], 0
     if held:
         yield _reduced(*map(list, zip(*held, strict=True)))
+    release()
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pivolith.llm.common import batches_of_rows, ship, written
+from pivolith.llm.common import batches_of_rows, release, ship, written
 
 #: Groups that a length is dealt to, so that no task holds one frequent length.
 SALTS = 64
@@ -118,10 +118,10 @@ def fast_codec(vocabulary: str):
     """A function from a text to its ids: the file's vocabulary as ranks in tiktoken, where its
     ids are in merge order and so give the same result; the trie encoder otherwise."""
     if vocabulary not in _CODECS:
-        from pivolith.llm.bpe import PRETOKEN, encoder
+        from pivolith.llm.bpe import PRETOKEN, Encoder, encoder
 
-        enc = encoder(vocabulary)
-        slow = lambda text: list(memoryview(enc.encode([text])[0]).cast("I"))
+        enc = Encoder(vocabulary)  # not kept: a worker that only packs holds one vocabulary
+        slow = lambda text: list(memoryview(encoder(vocabulary).encode([text])[0]).cast("I"))
         order = sorted(enc.rank, key=enc.rank.__getitem__)
         merged = [enc.ids[enc.bytes_of[a] + enc.bytes_of[b]] for a, b in order]
         if merged != sorted(set(merged)) or set(merged) | {enc.ids[bytes([b])] for b in range(256)} != set(enc.ids.values()) or merged[0] < 256:
@@ -162,6 +162,7 @@ def _cut_documents(docs: DataFrame, vocabulary: str, capacity: int, closing_id:
                     kept.append(own.astype(np.int32))
                 cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*cols, *([pa.array(kept, pa.list_(pa.int32()))] if ids else [])], names)
+        release()
 
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "n_ids", "sums", *["ids"] * ids]

@@ -10,7 +10,7 @@ the removed windows merge into maximal intervals. Three passes keep the exchange
    then document and position, every row but the first of a hash is a repetition.
 3. Removal. A document's repeated windows merge into intervals, and the rest is its text.
 
-Before each exchange a task reduces its own rows: of equal hashes among some 600,000 words only the first
+Before each exchange a task reduces its own rows: of equal hashes among some 400,000 words only the first
 is sent under its hash, the others are decided or known already and travel by a key of
 their own. So a passage in a third of all documents puts a few rows in a partition, not one for
 each document.
@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pivolith.llm.common import WORD_PATTERN, batches_of_rows, ship
+from pivolith.llm.common import WORD_PATTERN, batches_of_rows, release, ship
 from pivolith.llm.neardup import mix, word_hashes
 
 WINDOW, GRAM = 20, 8
 #: Hashed words that a task reduces together.
-TOGETHER = 600_000
+TOGETHER = 400_000
 _BASE, _BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _FIND = re.compile(WORD_PATTERN)
 
@@ -113,6 +113,7 @@ def _sent(batches: Iterator[pa.RecordBatch], make: Callable) -> Iterator[pa.Reco
                     parts, size = [], 0
     if parts:
         yield _reduced(parts)
+    release()
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,6 +237,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
                             cols[c].append(" ".join(t[spans[a][0] : spans[b - 1][1]] for a, b in edge.reshape(-1, 2)))
                 made = [pa.array(cols[c], pa.string() if c in ("text", "kept_sha256") else pa.int64()) for c in outputs]
                 yield pa.RecordBatch.from_arrays([batch.column("_rest"), *made], ["_rest", *[f"_{c}" for c in outputs]])
+        release()
 
     schema = T.StructType([T.StructField("_rest", T.StructType([docs.schema[c] for c in carried])), *[T.StructField(f"_{c}", _OUT[c]) for c in outputs]])
     out = rows.select("_rest", "text", "gone").mapInArrow(run, schema)
