@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +28,20 @@ def text_filter(df: DataFrame, wanted: Mapping[str, str]) -> DataFrame:
 def range_filter(df: DataFrame, ranges: Mapping[str, tuple[float | None, float | None]]) -> DataFrame:
     """Rows whose fields, as numbers, lie between the bounds, both included; None is no bound."""
     for name, (least, most) in ranges.items():
-        value = num(F.col(f"`{name}`"), df.schema[name].dataType)
-        if least is not None:
-            df = df.where(value >= float(least))
-        if most is not None:
-            df = df.where(value <= float(most))
+        kind, column = df.schema[name].dataType, F.col(f"`{name}`")
+        tests = [lambda x, b=float(b), up=up: x >= b if up else x <= b for b, up in ((least, True), (most, False)) if b is not None]
+        if not tests:
+            continue
+        if not isinstance(kind, T.NumericType):
+            df = df.where(reduce(lambda a, b: a & b, [t(num(column, kind)) for t in tests]))
+            continue
+        inside = reduce(lambda a, b: a & b, [t(column) for t in tests])  # reaches the scan
+        if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+            blank = column.isNull() | F.isnan(column)
+            inside = inside & ~F.isnan(column) if most is None else inside
+        else:
+            blank = column.isNull()
+        df = df.where(inside | blank if (least is None or least <= 0) and (most is None or most >= 0) else inside)
     return df
 
 

@@ -65,12 +65,12 @@ def _same(value: Column, kind: T.DataType, other: Any) -> Column:
     if other is None:
         return value.isNull()
     if isinstance(other, list):
-        return F.coalesce(value == F.array(*map(F.lit, other)), F.lit(False)) if isinstance(kind, T.ArrayType) else F.lit(False)
+        return value == F.array(*map(F.lit, other)) if isinstance(kind, T.ArrayType) else F.lit(False)
     if isinstance(kind, T.ArrayType):
         own = _comparable(value, kind.elementType, other)
-        return F.lit(False) if own is None else F.coalesce(F.exists(value, lambda x: x == F.lit(other)), F.lit(False))
+        return F.lit(False) if own is None else F.exists(value, lambda x: x == F.lit(other))
     own = _comparable(value, kind, other)
-    return F.lit(False) if own is None else F.coalesce(own == F.lit(other), F.lit(False))
+    return F.lit(False) if own is None else own == F.lit(other)
 
 
 def _ordered(sign: str, value: Column, kind: T.DataType, other: Any, lenient: bool) -> Column:
@@ -82,8 +82,7 @@ def _ordered(sign: str, value: Column, kind: T.DataType, other: Any, lenient: bo
         if value is None or other is None:
             return F.lit(False)
         other = F.lit(other)
-    test = {"$gt": value > other, "$gte": value >= other, "$lt": value < other, "$lte": value <= other}[sign]
-    return F.coalesce(test, F.lit(False))
+    return {"$gt": value > other, "$gte": value >= other, "$lt": value < other, "$lte": value <= other}[sign]
 
 
 def _any(tests: list[Column]) -> Column:
@@ -94,6 +93,15 @@ def _all(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
 
 
+def _no(test: Column) -> Column:
+    """Not; a test without an answer, as of a null, counts as failed first."""
+    return ~F.coalesce(test, F.lit(False))
+
+
+def _some(df: DataFrame, value: Column, kind: T.DataType, want: Any, lenient: bool) -> Column:
+    return F.exists(value, lambda x: _field(df, x, kind, want, lenient))
+
+
 def _field(df: DataFrame, value: Column, kind: T.DataType, want: Any, lenient: bool) -> Column:
     if not (isinstance(want, Mapping) and any(k.startswith("$") for k in want)):
         return _same(value, kind, want)
@@ -102,12 +110,12 @@ def _field(df: DataFrame, value: Column, kind: T.DataType, want: Any, lenient: b
         if sign == "$eq":
             tests.append(_same(value, kind, other))
         elif sign == "$ne":
-            tests.append(~_same(value, kind, other))
+            tests.append(_no(_same(value, kind, other)))
         elif sign in ("$gt", "$gte", "$lt", "$lte"):
             tests.append(_ordered(sign, value, kind, other, lenient))
         elif sign in ("$in", "$nin"):
-            hit = _any([_same(value, kind, x) for x in other]) if not _plain(kind, other) else F.coalesce(value.isin(other), F.lit(False))
-            tests.append(hit if sign == "$in" else ~hit)
+            hit = _any([_same(value, kind, x) for x in other]) if not _plain(kind, other) else value.isin(other)
+            tests.append(hit if sign == "$in" else _no(hit))
         elif sign == "$regex":
             flags = "".join(f for f in "imsx" if f in want.get("$options", ""))
             tests.append(F.coalesce(value.cast("string"), F.lit("")).rlike((f"(?{flags})" if flags else "") + other))
@@ -116,15 +124,15 @@ def _field(df: DataFrame, value: Column, kind: T.DataType, want: Any, lenient: b
         elif sign == "$exists":
             tests.append(value.isNotNull() if other else value.isNull())
         elif sign == "$not":
-            tests.append(~_field(df, value, kind, other, lenient))
+            tests.append(_no(_field(df, value, kind, other, lenient)))
         elif sign == "$mod":
-            tests.append(F.coalesce(F.try_mod(num(value, kind).cast("long"), F.lit(int(other[0]))) == int(other[1]), F.lit(False)))
+            tests.append(F.try_mod(num(value, kind).cast("long"), F.lit(int(other[0]))) == int(other[1]))
         elif sign == "$size":
-            tests.append(F.coalesce(F.size(value) == other, F.lit(False)) if isinstance(kind, T.ArrayType) else F.lit(False))
+            tests.append((value.isNotNull() & (F.size(value) == other)) if isinstance(kind, T.ArrayType) else F.lit(False))
         elif sign == "$all":
             tests.append(_all([_same(value, kind, x) for x in other]) if other else F.lit(False))
         elif sign == "$elemMatch" and isinstance(kind, T.ArrayType):
-            tests.append(F.coalesce(F.exists(value, lambda x, o=other: _field(df, x, kind.elementType, o, lenient)), F.lit(False)))
+            tests.append(_some(df, value, kind.elementType, other, lenient))
         else:
             raise ValueError(f"unknown operator {sign}")
     return _all(tests)
@@ -136,7 +144,8 @@ def _plain(kind: T.DataType, values: list) -> bool:
 
 
 def condition(df: DataFrame, want: Mapping[str, Any] | None, lenient: bool = False) -> Column:
-    """A filter as a Column that is never null; sibling keys are AND-ed.
+    """A filter as a Column; sibling keys are AND-ed. Where a value is null, the Column may be null
+    instead of false, which where() takes alike: so plain comparisons reach the scan.
 
     lenient: order comparisons turn both sides into numbers, blanks and garbage being 0. Otherwise
     values of different types never compare. Null and missing are the same: `{f: null}` finds both,
@@ -146,7 +155,7 @@ def condition(df: DataFrame, want: Mapping[str, Any] | None, lenient: bool = Fal
     for name, value in (want or {}).items():
         if name in ("$and", "$or", "$nor"):
             parts = [condition(df, x, lenient) for x in value]
-            tests.append(_all(parts) if name == "$and" else _any(parts) if name == "$or" else ~_any(parts))
+            tests.append(_all(parts) if name == "$and" else _any(parts) if name == "$or" else _no(_any(parts)))
         elif name.startswith("$"):
             raise ValueError(f"unknown operator {name}")
         else:
