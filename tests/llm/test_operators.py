@@ -1,0 +1,250 @@
+"""Operators against brute force, and what they do with odd rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from pivolith.llm import bpe, embeddedup, html, langid, linededup, neardup, packing, quality, queries, substring, urlfilter
+
+SF = "/root/testdata/sf0.001"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = "word%d " * 3
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, h long, key string, n int, kept string, gone int, `a b` string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty, blank and very long texts, ties, repeated rows, clashing names."""
+    prose = "the cat sat on the mat and then it ran away from the big old dog that lived next door to us all year long.\nIt was a fine day of the year.\nAnd so on it goes."
+    long = " ".join(f"w{i % 5000}" for i in range(40_000))
+    rows = [(1, prose), (2, prose), (2, prose), (3, None), (4, ""), (5, " \n\t "), (None, prose), (None, None), (6, long), (7, "12345 !!"), (8, "one"), (9, prose + "\nMore."), (10, "a " * 300), (11, "x\n" * 50)]
+    lang = {1: "en", 2: None, 6: "de", 9: "en", 8: "fr"}
+    return spark.createDataFrame([(i, t, lang.get(i), None, None, 5, 5, "k", 1, "x", 2, None) for i, t in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def texts(df):
+    return {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
+
+
+def test_odd_rows(odd):
+    n = odd.count()
+    empty = odd.where("false")
+    model = langid.fit(odd)
+    runs = {
+        "lines": lambda d: linededup.dedup_lines(d), "near": lambda d: neardup.near_duplicates(d, 2), "quality": lambda d: quality.judge(d), "lang": lambda d: langid.identify(d, model),
+        "substring": lambda d: substring.remove_repeats(d, outputs=("text", "n_words", "n_removed", "kept_sha256")), "bpe": lambda d: bpe.encode_decode(d, VOCABULARY, outputs=("ids", "decoded", "n_tokens")),
+    }
+    for name, run in runs.items():
+        assert run(odd).count() == n, name
+        assert run(empty).count() == 0, name
+    assert packing.pack(odd, VOCABULARY, ids=True).where("piece = 0").count() == n
+    assert packing.pack(empty, VOCABULARY).count() == 0
+    near = defaultdict(list)
+    for r in runs["near"](odd).collect():
+        near[r["doc_id"]].append((r["component_id"], r["kept"]))
+    assert near[2] == [(1, False)] * 2 and near[None] == [(None, False)] * 2 and near[3] == [(3, True)] and near[9] == [(1, False)]
+    said = {r["doc_id"]: r for r in runs["lang"](odd).collect()}
+    assert [said[i]["lang_pred"] for i in (3, 4, 5, 7)] == ["und"] * 4 and said[3]["score"] == 0
+    assert langid.identify(odd, langid.fit(empty)).where("lang_pred <> 'und'").count() == 0
+    cut = {r["doc_id"]: r for r in runs["substring"](odd).collect()}
+    assert cut[1]["n_removed"] == cut[1]["n_words"] > 0 and cut[3]["text"] is None and cut[4]["text"] == ""
+    lines = {r["doc_id"]: r for r in runs["lines"](odd).collect()}
+    assert lines[3]["text"] is None and lines[4]["text"] == "" and lines[6]["n_lines_removed"] == 0
+    assert all(r["decoded"] == (r["text"] or "") for r in bpe.encode_decode(odd, VOCABULARY, keep=("text",)).collect())
+
+
+def test_url_filter(spark):
+    urls = ["http://a.org/x", "http://org/", "http://org", "https://www.EXAMPLE.org/es/1?q", "http://example.org/en/12", "http://notexample.org/es/", "http://x.com/fr/#a", "http://x.com/de/", "ftp://a.casino-x.net", "http://a.net/casino", "no scheme", "", None, "://org/é*", "http://a.com/.org/x", "http://" + "a." * 5000 + "org/" + "p" * 9000]
+
+    def judge(url):
+        host, path = urlfilter.canonical(url)
+        fits = [r for r in urlfilter.RULES if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+        best = max(fits, key=lambda r: len(r[0] + r[1]), default=None)
+        return (host, path, best and best[0] + best[1], best[2] if best else "block" if re.search("casino|adult|free-bets|spam-farm", host) else "allow")
+
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    assert {r["page_id"]: tuple(r)[1:] for r in urlfilter.filter_urls(df).collect()} == {i: judge(u) for i, u in enumerate(urls)}
+    assert urlfilter.canonical("http://A.É/p?x#y") == ("a.É", "/p")
+    many = [f"*.h{i}.org/**" for i in range(40)]  # several words
+    hit = urlfilter.Automaton(many).run([b".x.h7.org/", b".h39.org/a/b", b".h40.org/"])
+    assert [np.flatnonzero(r).tolist() for r in hit] == [[7], [39], []]
+
+
+def test_substring(spark):
+    rnd = random.Random(3)
+    passage = [f"p{i}" for i in range(60)]
+    made = {i: [f"w{rnd.randint(0, 9)}" if i % 3 else f"u{i}_{k}" for k in range(rnd.randint(0, 90))] for i in range(40)}
+    for i in (3, 9, 21, 33):
+        made[i][5:5] = passage[i % 7 :]
+    made[12] = ["a", "b", "c"] * 20
+    df = spark.createDataFrame([(i, "  ".join(w)) for i, w in made.items()], "doc_id long, text string").repartition(3)
+    seen, gone = {}, defaultdict(set)
+    for i in sorted(made):
+        for p in range(len(made[i]) - 19):
+            w = tuple(made[i][p : p + 20])
+            if w in seen:
+                gone[i] |= set(range(p, p + 20))
+            seen.setdefault(w, i)
+    want = {i: (len(w), len(gone[i]), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone[i]).encode()).hexdigest()) for i, w in made.items()}
+    got = substring.remove_repeats(df, outputs=("n_words", "n_removed", "kept_sha256")).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == want and any(gone.values())
+
+
+def test_packing(docs):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(VOCABULARY)
+    rows = packing.pack(docs, VOCABULARY, ids=True).collect()
+    by_doc, by_bin = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        by_bin[r["sequence_id"]].append(r)
+        assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"] <= 1024
+    for i, t in texts(docs).items():
+        own = sorted(by_doc[i], key=lambda r: r["piece"])
+        assert sum((r["ids"] for r in own), []) == [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+        assert all(r["length"] == 1024 for r in own[1:]) and [r["start"] for r in own] == np.cumsum([0, *[r["length"] for r in own]])[:-1].tolist()
+    for own in by_bin.values():
+        own.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in own] == np.cumsum([0, *[r["length"] for r in own]])[:-1].tolist() and sum(r["length"] for r in own) <= 1024
+    assert len(by_bin) <= -(-sum(r["length"] for r in rows) // 1024) * 1.01 + 1
+
+
+@pytest.mark.parametrize("counts", [{}, {1024: 3}, {600: 5, 400: 7, 500: 3}, {342: 9}, {1: 5000, 1000: 7}, {513: 4, 511: 9, 30: 100}])
+def test_plan(counts):
+    bins = packing.plan(counts, 1024)
+    used = Counter()
+    for items, n in bins:
+        assert sum(items) <= 1024 and sum(3 * x > 1024 for x in items) <= 2
+        for x in items:
+            used[x] += n
+    assert used == Counter(counts)
+
+
+def test_near_duplicates(spark):
+    rnd = random.Random(5)
+    base = [f"w{rnd.randint(0, 400)}" for _ in range(120)]
+    made = {}
+    for i in range(150):
+        w = list(base) if i % 2 else [f"w{rnd.randint(0, 400)}" for _ in range(100)]
+        for _ in range(rnd.randint(0, 16)):
+            w[rnd.randrange(len(w))] = f"x{rnd.randint(0, 99)}"
+        made[i] = " ".join(w).upper() if i % 5 == 0 else "\t".join(w)
+    sets = {i: {tuple(w[k : k + 2]) for k in range(len(w) - 1)} for i, t in made.items() for w in [t.lower().split()]}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for i in sets:
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if 100 * shared >= 80 * (len(sets[i]) + len(sets[j]) - shared):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(4)
+    got = {r[0]: tuple(r)[1:] for r in neardup.near_duplicates(df, 2).collect()}
+    assert got == {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
+
+
+def test_quality(docs):
+    def stats(t):
+        w, lines = WORD.findall(t or ""), [x for x in (t or "").split("\n") if WORD.search(x)]
+        seen, cover = Counter(zip(w, w[1:], w[2:], strict=False)), set()
+        for i in range(len(w) - 2):
+            if seen[tuple(w[i : i + 3])] > 1:
+                cover |= {i, i + 1, i + 2}
+        return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(cover))
+
+    said = texts(docs)
+    rows = quality.judge(docs).collect()
+    for r in rows:
+        s = stats(said[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == s
+        assert r["base_failed"] == (s[0] < 50 or 100 * s[4] > 50 * s[0]) and not (r["base_failed"] and r["kept"])
+    share, chances = quality.estimate([((1, 1, None), 90), ((0, 0, 0), 10), ((1, None, 1), 20)])
+    assert 0.8 < share < 1 and quality.posterior((0, 0, 0), share, chances) < 0.5 < quality.posterior((1, 1, None), share, chances)
+
+
+def test_language(docs):
+    rows = queries.op7_language_id(docs.sparkSession, "/root/testdata/sf0.01").join(docs.sparkSession.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", F.length("text").alias("size")), "doc_id").where("held_out and size > 100").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows) > 100
+    for n in (2, 3, 4, 7, 20):
+        code = langid.codewords(n)
+        assert len({tuple(r) for r in code}) == n and set(np.unique(code)) == {-1.0, 1.0}
+
+
+def test_embeddings(spark):
+    rnd = np.random.default_rng(2)
+    x = rnd.standard_normal((300, 24))
+    x[50:120] = x[0] + 0.05 * rnd.standard_normal((70, 24))
+    x[130] = 3 * x[131]
+    x[140] = x[141]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [0.0] * 24), (902, [float("nan")] * 24), (903, [1.0, None] * 12), (904, [1.0]), (None, [float(v) for v in x[0]])]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    got = {r["vec_id"]: tuple(r)[1:] for r in embeddedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    links = {i: int(near[i].sum()) - 1 for i in range(300)}
+    assert sum(got[i][0] for i in links) >= 0.98 * sum(links.values()) and all(got[i][0] <= links[i] for i in links)
+    assert got[140][0] == 1 and got[141][1] == 140 and got[60][1] == 0 and got[131][1] == 130
+    assert all(got[i] == (0, i, True) for i in range(900, 905)) and got[None] == (0, None, False)
+    assert embeddedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_html(spark):
+    chain = html.default_chain()
+    wrong = total = 0
+    for page, labels in html.labelled_pages(120, seed=123):
+        blocks = html.leaf_blocks(page)
+        if blocks:
+            found = chain.viterbi([sum(chain.weight.get(f, 0.0) for f in html.features(*b)) for b in blocks])
+            wrong, total = wrong + sum(a != b for a, b in zip(found, labels, strict=True)), total + len(labels)
+    assert wrong <= 0.01 * total
+    page = '<html><head><title>t</title><script>if (a < b) "</p>"</script></head><body><nav>Home <a href="/">a</a></nav><article><h1>A &amp; B</h1><p>One<b> two\n three<br>four<p>Five &lt;&eacute;&#x41;&nbsp;x</article><form>Name</form><footer>&copy; x</footer>'
+    df = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<p>x"), (5, "u", "<<>< & <!-- never closed"), (6, "u", "<article>" + "<p>word and more. " * 20_000)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html.extract_main_text(df).collect()}
+    assert got[1]["text"] == "A & B\nOne two three four\nFive <éA x" and got[1]["n_chars"] == len(got[1]["text"])
+    assert got[2]["text"] == got[3]["text"] == "" and got[6]["text"].count("\n") == 19_999
+
+
+def test_bpe_round_trip(docs):
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(VOCABULARY), bpe.Encoder(VOCABULARY)
+    rnd = random.Random(1)
+    parts = [*"aabcde  \n\n\t'sSt.=-012é漢😀<|>\x00", "<|endoftext|>", "'ll", " the", "ing", "\r\n", "\x85", "\x1c", "  ", " \n"]
+    said = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40))) for _ in range(3000)] + [c * n for c in "a- \n=" for n in (1, 2, 7, 129, 3000)] + ["ab" * 4000]
+    for t, packed in zip(said, enc.encode(said), strict=True):
+        ids = memoryview(packed).cast("I").tolist()
+        want = tok.encode(t, add_special_tokens=False).ids
+        assert ids == want and enc.decode(ids) == tok.decode(want, skip_special_tokens=False)
+    real = texts(docs)
+    for r in queries.op10_bpe(docs.sparkSession, SF).collect():
+        ids = tok.encode(real[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_queries_match_sql(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    for name in ("documents", "pages", "embeddings"):
+        c.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        got, want = queries.queries()[name](spark, SF), c.execute(sql)
+        columns = [d[0] for d in want.description]
+        assert sorted(columns) == sorted(got.columns), name
+        assert sorted(str([r[x] for x in columns]) for r in got.collect()) == sorted(str(list(r)) for r in want.fetchall()), name
