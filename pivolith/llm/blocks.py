@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pivolith.llm.common import written
+
 #: Rows of a block.
 BLOCK = 256
 
@@ -37,7 +39,7 @@ def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def in_blocks(rows: DataFrame) -> DataFrame:
     """rows with the columns key and id, dealt to cells (key, i, j): a key's rows fall into blocks by
     a hash of id, and each pair of blocks is a cell. A key of one block is one cell."""
-    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    size = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))  # a table, so that a large key's join can be split
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
     each = rows.join(size, "key").select(*rows.columns, own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
@@ -66,7 +68,7 @@ def in_blocks_across(rows: DataFrame) -> DataFrame:
     components meets once. The largest component of a key only has to meet the others: its rows are
     dealt to blocks and meet each block of the others; the others meet among themselves."""
     counts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    top = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("_n")).where("_n > top.c")
+    top = written(counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("_n")).where("_n > top.c"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     own = lambda b: F.pmod(F.xxhash64("id"), b.cast("long")).cast("int")
     most, few = blocks(F.col("top.c")), blocks(F.col("_n") - F.col("top.c"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pivolith.llm.common import written
 from pivolith.llm.quality import bind
 
 #: A line ends a chunk if the hash's first hexadecimal digit is below this one: 5 of 16.
@@ -50,7 +51,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """
     docs = docs.drop("n_lines_before", "n_lines_removed")
     each = docs.select(F.col(f"`{key}`").alias("_key"), F.explode(chunks(F.col(f"`{text}`"))).alias("c")).where("c.words > 1").select("_key", "c.k", F.xxhash64("c.body").alias("h"))
-    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    often = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))  # a table, so that a frequent hash's join can be split
     listed = each.join(often, "h").groupBy("_key").agg(F.collect_set("k").alias("ks"))
     joined = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).alias("d").join(listed.alias("l"), F.col("d._key").eqNullSafe(F.col("l._key")))
     found = joined.select(F.col("d._key").alias("_key"), F.explode(F.filter(chunks(F.col("_text")), lambda c: (c["words"] > 1) & F.array_contains(F.col("ks"), c["k"]))).alias("c")).select("_key", "c.k", "c.body", F.xxhash64("c.body").alias("h"))

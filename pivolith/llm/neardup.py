@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed = written(_signatures(rows, words))
     usable = signed.where("id is not null and n > 0")
-    groups = usable.groupBy("e1", "e2", "n").agg(F.min("id").alias("rep"))
+    groups = written(usable.groupBy("e1", "e2", "n").agg(F.min("id").alias("rep")))  # a table, so that a large group's join can be split
     firsts = usable.join(groups.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
     sent = firsts.select("id", "n", "sig").mapInArrow(_send_keys, _ROWS)
     members = written(sent.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_members, "key long, id long, n long, lead long, lead_n long"))
