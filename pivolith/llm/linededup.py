@@ -54,7 +54,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     often = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))  # a table, so that a frequent hash's join can be split
     listed = each.join(often, "h").groupBy("_key").agg(F.collect_set("k").alias("ks"))
     joined = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).alias("d").join(listed.alias("l"), F.col("d._key").eqNullSafe(F.col("l._key")))
-    found = joined.select(F.col("d._key").alias("_key"), F.explode(F.filter(chunks(F.col("_text")), lambda c: (c["words"] > 1) & F.array_contains(F.col("ks"), c["k"]))).alias("c")).select("_key", "c.k", "c.body", F.xxhash64("c.body").alias("h"))
+    found = written(joined.select(F.col("d._key").alias("_key"), F.explode(F.filter(chunks(F.col("_text")), lambda c: (c["words"] > 1) & F.array_contains(F.col("ks"), c["k"]))).alias("c")).select("_key", "c.k", "c.body", F.xxhash64("c.body").alias("h")))  # the few repeated chunks, so that the texts aren't gone through again
     first = written(found.groupBy("h", "body").agg(F.min(F.struct("_key", "k")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "body", "first"))
     later = found.join(first, ["h", "body"]).where(~F.struct("_key", "k").eqNullSafe(F.col("first"))).groupBy("_key").agg(F.collect_set(F.struct("k", "h")).alias("_gone"))
     both = docs.alias("d").join(later.alias("g"), F.col(f"d.`{key}`").eqNullSafe(F.col("g._key")), "left")
