@@ -64,9 +64,12 @@ def _tokens(text: str, fields: Sequence[str]) -> list[tuple[str, str]]:
 _LEVELS = (("||",), ("&&",), ("==", "===", "!=", "!=="), ("<", "<=", ">", ">="), ("+", "-"), ("*", "/", "%"))
 
 
-def parse(text: str, fields: Sequence[str]) -> Node:
-    """The syntax tree: ('num', x), ('field', name), ('call', name, args), ('op', sign, args)."""
-    tokens = _tokens(text, fields)
+def parse(text: str, fields: Sequence[str], aliases: Mapping[str, str] | None = None) -> Node:
+    """The syntax tree: ('num', x), ('field', name), ('call', name, args), ('op', sign, args).
+
+    aliases: other spellings of fields; a field of that very name comes first."""
+    spelt = {a: f for a, f in (aliases or {}).items() if a not in fields and f in fields}
+    tokens = _tokens(text, [*fields, *spelt])
     at = 0
 
     def take(*signs: str) -> str | None:
@@ -111,7 +114,7 @@ def parse(text: str, fields: Sequence[str]) -> Node:
         if kind == "number":
             return ("num", float(said))
         if kind == "field":
-            return ("field", said)
+            return ("field", spelt.get(said, said))
         if kind == "name" and take("("):
             args = []
             if not take(")"):

@@ -11,15 +11,16 @@ from pivolith.functions import formula
 from pivolith.functions.numeric import iferror, num
 
 
-def parsed(formulas: Mapping[str, str], fields: list[str]) -> dict[str, formula.Node]:
+def parsed(formulas: Mapping[str, str], fields: list[str], aliases: Mapping[str, str] | None = None) -> dict[str, formula.Node]:
     names = list(dict.fromkeys([*fields, *formulas]))
-    return {n: formula.parse(text, names) for n, text in formulas.items()}
+    return {n: formula.parse(text, names, aliases) for n, text in formulas.items()}
 
 
-def with_computed(df: DataFrame, formulas: Mapping[str, str], fallback: float | None = None) -> DataFrame:
+def with_computed(df: DataFrame, formulas: Mapping[str, str], fallback: float | None = None, aliases: Mapping[str, str] | None = None) -> DataFrame:
     """df with a double column for each formula, which may use fields and other formulas. Members of
-    a cycle, and what uses them, are 0. fallback replaces results that aren't finite."""
-    trees = parsed(formulas, df.columns)
+    a cycle, and what uses them, are 0. fallback replaces results that aren't finite;
+    aliases are other spellings of fields in formulas."""
+    trees = parsed(formulas, df.columns, aliases)
     order, lost = formula.in_order(trees)
     kinds = {f.name: f.dataType for f in df.schema.fields}
     from pyspark.sql import types as T

@@ -47,20 +47,20 @@ def _inputs(name: str, trees: Mapping[str, formula.Node]) -> list[str]:
     return out
 
 
-def pivot_long(df: DataFrame, spec: PivotSpec, formulas: Mapping[str, str] | None = None, fallback: float | None = None) -> DataFrame:
+def pivot_long(df: DataFrame, spec: PivotSpec, formulas: Mapping[str, str] | None = None, fallback: float | None = None, aliases: Mapping[str, str] | None = None) -> DataFrame:
     """A row for each set of row labels and column key: r1..rn, __key, __level (row fields that are
     set), __is_subtotal and the metrics. Leaves have level n, the total level 0.
 
     A metric on a formula ignores its aggregate: the formula is taken over the sums of its inputs.
-    Results that are null or NaN are 0.
+    Results that are null or NaN are 0. aliases are other spellings of fields in formulas.
     """
     spec = normalised(df, spec)
-    trees = parsed(formulas or {}, df.columns)
+    trees = parsed(formulas or {}, df.columns, aliases)
     needed = list(dict.fromkeys(f for m in spec.vals for f in _inputs(m.field, trees)))
     n = len(spec.rows)
     labels = [f"r{k + 1}" for k in range(n)]
     used = {f for f in [*spec.rows, *spec.cols] if f in trees}
-    base = with_computed(df, formulas or {}, fallback) if used else df
+    base = with_computed(df, formulas or {}, fallback, aliases) if used else df
     keyed = base.select(
         *[_label(base, f).alias(r) for f, r in zip(spec.rows, labels, strict=True)],
         F.concat_ws(PART, *[_label(base, f) for f in spec.cols]).alias(KEY) if spec.cols else F.lit("").alias(KEY),
@@ -118,7 +118,7 @@ def header(key: str, metric: Metric) -> str:
     return f"{said}|{metric.name}" if said else metric.name
 
 
-def pivot(df: DataFrame, spec: PivotSpec, formulas: Mapping[str, str] | None = None, fallback: float | None = None, keys: list[str] | None = None) -> DataFrame:
+def pivot(df: DataFrame, spec: PivotSpec, formulas: Mapping[str, str] | None = None, fallback: float | None = None, keys: list[str] | None = None, aliases: Mapping[str, str] | None = None) -> DataFrame:
     """The pivot as a table: row fields, __level, __is_subtotal, then for each column key each metric.
 
     Cells without rows are 0. Rows are in collated order of their labels, a group's subtotal after
@@ -126,7 +126,7 @@ def pivot(df: DataFrame, spec: PivotSpec, formulas: Mapping[str, str] | None = N
     order, where known; else they are looked up. Without input rows there is no row.
     """
     spec = normalised(df, spec)
-    long = pivot_long(df, spec, formulas, fallback)
+    long = pivot_long(df, spec, formulas, fallback, aliases)
     labels = [f"r{k + 1}" for k in range(len(spec.rows))]
     keys = column_keys(long) if keys is None else keys
     metrics = list(dict.fromkeys(spec.vals))

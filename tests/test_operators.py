@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pivolith.functions import formula
+from pivolith.operators.computed import with_computed
 from pivolith.operators.filters import range_filter, search_fields, text_filter
 from pivolith.operators.find import find, parse_filter
 from pivolith.operators.order import sort_pivot
@@ -113,3 +115,13 @@ def test_registered_queries_match_sql(spark):
         assert sorted(columns) == names, name
         rows = sorted(str([r[columns.index(n)] for n in names]) for r in want.fetchall())
         assert sorted(str([r[n] for n in names]) for r in got.collect()) == rows, name
+
+
+def test_aliases(spark):
+    df = spark.createDataFrame([("a", 6.0, 2.0), ("b", 9.0, 3.0)], "k string, cost double, sales double")
+    spec, spelt = PivotSpec(("k",), (), (Metric("ratio"),)), {"spend": "cost", "sales": "cost", "none": "gone"}
+    rows = pivot(df, spec, {"ratio": "spend / sales"}, aliases=spelt).collect()
+    assert {r["k"]: r["ratio sum"] for r in rows} == {"a": 3.0, "b": 3.0, "汇总": 3.0}
+    assert [r["x"] for r in with_computed(df, {"x": "spend + 1"}, aliases=spelt).orderBy("k").collect()] == [7.0, 10.0]
+    with pytest.raises(formula.FormulaError):
+        with_computed(df, {"x": "none + 1"}, aliases=spelt)
