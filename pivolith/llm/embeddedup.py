@@ -5,7 +5,8 @@ balanced code with little quantisation error; several rotations, from different
 as are needed. The code is cut into chunks; each chunk is a Hamming table in which a vector
 stands under every pattern with one bit left out, so two vectors meet in a table if the chunk differs
 in at most one bit. The width of a chunk follows the logarithm of the number of vectors, which keeps
-buckets short at every size, and the number of chunks follows from the width, so that a pair just
+buckets short at every size, and the number of chunks follows from the width and from
+how often bits of sampled vectors turned by the threshold's angle differ, so that a pair just
 at the threshold is missed with a chance of at most `miss`.
 
 Pairs whose codes are close name the buckets worth looking into; only for these the vectors
@@ -32,35 +33,67 @@ from pivolith.llm.neardup import mix
 
 #: Rows that the rotations are learned on at most.
 SAMPLE = 4096
+#: Keys of a vector at most (and no more than vectors, but 256); chunks get shorter before there are more.
+KEYS = 4096
 
 
 class Codes:
     """Rotations learned by iterative quantisation, and how codes are cut into tables."""
 
-    def __init__(self, sample: np.ndarray, count: int, cosine: float, miss: float, rounds: int = 30) -> None:
-        self.dims = sample.shape[1]
-        self.width = min(30, max(8, math.ceil(math.log2(max(2, count)))))
-        flip = math.acos(min(1.0, cosine)) / math.pi
-        meet = (1 - flip) ** self.width + self.width * flip * (1 - flip) ** (self.width - 1)
-        self.tables = max(1, math.ceil(math.log(miss) / math.log(1 - meet)))
-        bits = self.width * self.tables
-        self.most = math.ceil(bits * flip + 5 * math.sqrt(bits * flip * (1 - flip)))
-        rnd = np.random.default_rng(11)
+    def __init__(self, sample: np.ndarray, count: int, cosine: float, miss: float, rounds: int = 30, probe: np.ndarray | None = None) -> None:
+        """Planned for hyperplanes through the origin, then measured: the codes cut around the sample's mean, where
+        angles are larger, so tables are added until at most `miss` of the pairs made of probe (by default
+        the sample) don't meet. If that takes too many keys, chunks get shorter, down to one bit, where all meet."""
+        self.dims, self.rounds = sample.shape[1], rounds
         self.mean = sample.mean(0) if len(sample) else np.zeros(self.dims)
-        x = sample - self.mean
-        parts = []
-        for _ in range(math.ceil(bits / self.dims)):
-            r = np.linalg.qr(rnd.standard_normal((self.dims, self.dims)))[0]
-            for _ in range(rounds if len(sample) else 0):
-                u, _, v = np.linalg.svd(np.where(x @ r >= 0, 1.0, -1.0).T @ x)
+        flip = math.acos(min(1.0, cosine)) / math.pi
+        self._x, self._rnd, self._parts = sample - self.mean, np.random.default_rng(11), np.zeros((self.dims, 0))
+        tests = [(a - self.mean, b - self.mean) for a, b in self.turned(sample if probe is None else probe, cosine)]
+        for self.width in range(min(30, max(8, math.ceil(math.log2(max(2, count))))), 0, -1):
+            meet = (1 - flip) ** self.width + self.width * flip * (1 - flip) ** (self.width - 1)
+            self.tables = max(1, math.ceil(math.log(miss) / math.log(1 - meet))) if meet < 1 else 1
+            while self.width == 1 or self.tables * self.width <= min(KEYS, max(256, count)):
+                bits = self.width * self.tables
+                self.turn = self.rotations(bits)
+                far = [np.concatenate([np.bitwise_count(self._cut(a[i : i + 512]) ^ self._cut(b[i : i + 512])) for i in range(0, len(a), 512)]) for a, b in tests]
+                apart = [f.sum(1) for f in far]
+                self.most = max([math.ceil(bits * flip + 5 * math.sqrt(bits * flip * (1 - flip))), *[math.ceil(d.mean() + 5 * d.std()) for d in apart]])
+                if self.width == 1 or all(((f > 1).all(1) | (d > self.most)).mean() <= miss for f, d in zip(far, apart, strict=True)):
+                    del self._x, self._rnd, self._parts
+                    return
+                self.tables += math.ceil(self.tables / 8)
+
+    def turned(self, vectors: np.ndarray, cosine: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Unit vectors and others at just the cosine: turned anywhere, and towards or away from one another."""
+        if len(vectors) < 2 or self.dims < 2:
+            return []
+        rnd, out = np.random.default_rng(12), []
+        for to in (rnd.standard_normal(vectors.shape), (np.roll(vectors, 1, 0) - self.mean) * rnd.choice([-1.0, 1.0], (len(vectors), 1))):
+            side = to - (to * vectors).sum(1, keepdims=True) * vectors
+            size = np.linalg.norm(side, axis=1)
+            some = size > 1e-9
+            x = vectors[some]
+            if len(x):
+                out.append((x, cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * side[some] / size[some, None]))
+        return out
+
+    def rotations(self, bits: int) -> np.ndarray:
+        """The first columns of the learned rotations, learned as far as they are needed."""
+        while self._parts.shape[1] < bits:
+            r = np.linalg.qr(self._rnd.standard_normal((self.dims, self.dims)))[0]
+            for _ in range(self.rounds if len(self._x) else 0):
+                u, _, v = np.linalg.svd(np.where(self._x @ r >= 0, 1.0, -1.0).T @ self._x)
                 r = (u @ v).T
-            parts.append(r)
-        self.turn = np.hstack(parts)[:, :bits]
+            self._parts = np.hstack([self._parts, r])
+        return self._parts[:, :bits].copy()
+
+    def _cut(self, centred: np.ndarray) -> np.ndarray:
+        bits = (centred @ self.turn >= 0).reshape(len(centred), self.tables, self.width)
+        return (bits.astype(np.uint32) << np.arange(self.width, dtype=np.uint32)).sum(2, dtype=np.uint32)
 
     def chunks(self, vectors: np.ndarray) -> np.ndarray:
         """A row for each vector, a 32-bit number for each table."""
-        bits = ((vectors - self.mean) @ self.turn >= 0).reshape(len(vectors), self.tables, self.width)
-        return (bits.astype(np.uint32) << np.arange(self.width, dtype=np.uint32)).sum(2, dtype=np.uint32)
+        return self._cut(vectors - self.mean)
 
     def keys(self, chunks: np.ndarray) -> np.ndarray:
         """For each vector its keys: every chunk with each bit left out."""
@@ -86,7 +119,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, miss: float = 0.005,
 
     Null vectors, zero vectors, ones with a null or non-finite component, and ones of another length than
     the most frequent are linked with nothing. Every link counted is exact; one at the threshold is
-    missed with a chance of at most `miss` for random codes. Equal vectors are one row in the search and count as
+    missed with a chance of at most `miss`, as measured on sampled vectors. Equal vectors are one row in the search and count as
     often as they occur; rows with the same key are vectors of their own with a common
     component. A null key takes no part: no links, no component. An empty table gives an empty one.
     """
@@ -99,9 +132,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, miss: float = 0.005,
     dims = lengths[0]["d"] if lengths else 1
     classes = written(good.where(F.size("v") == dims).groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
     count = classes.count()
-    sample = [r["v"] for r in classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()]
+    sample = [r["v"] for r in classes.orderBy(F.xxhash64("id"), "id").limit(2 * SAMPLE).select("v").collect()]
     unit = lambda x: (x / np.abs(x).max(1, keepdims=True)) / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True)
-    codes = Codes(unit(np.array(sample, np.float64)) if sample else np.zeros((0, dims)), count, cosine, miss)
+    known = unit(np.array(sample, np.float64)) if sample else np.zeros((0, dims))
+    codes = Codes(known[:SAMPLE], count, cosine, miss, probe=known[-SAMPLE:])  # measured on others than those learned from, if there are
     per = codes.tables * codes.width
 
     def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

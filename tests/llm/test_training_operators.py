@@ -204,6 +204,24 @@ def test_embeddings(spark):
     assert embeddedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def with_a_common_mean(common, n):
+    """Unit vectors of this mean cosine, and for each one at a cosine of 0.95 to 0.96."""
+    rnd = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(np.sqrt(common) * np.eye(1, 64) + np.sqrt((1 - common) / 64) * rnd.standard_normal((n, 64)))
+    side = rnd.standard_normal(x.shape)
+    cosine = rnd.uniform(0.95, 0.96, (n, 1))
+    return x, cosine * x + np.sqrt(1 - cosine**2) * unit(side - (side * x).sum(1, keepdims=True) * x)
+
+
+@pytest.mark.parametrize(("common", "count"), [(0.0, 15_000), (0.72, 15_000), (0.72, 10_000_000), (0.9, 2_000)])
+def test_codes_with_a_common_mean(common, count):
+    x, y = with_a_common_mean(common, 6000)
+    codes = embeddedup.Codes(x[:4096], count, 0.95, 0.005)
+    a, b = codes.chunks(x[4096:]), codes.chunks(y[4096:])
+    assert ((np.bitwise_count(a ^ b) <= 1).any(1) & (codes.distance(a, b) <= codes.most)).mean() >= 0.985
+
+
 def test_html(spark):
     chain = html.default_chain()
     wrong = total = 0
