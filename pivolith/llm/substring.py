@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pivolith.llm.common import WORD_PATTERN, batches_of_rows, release, ship
+from pivolith.llm.common import WORD_PATTERN, batches_of_rows, release, ship, written
 from pivolith.llm.neardup import mix, word_hashes
 
 WINDOW, GRAM = 20, 8
@@ -69,29 +69,30 @@ def _words(text: str | None) -> list[str]:
 
 
 #: at: 32 more hash bits, 30 bits of position, two bits of kind.
-_ROWS = "h long, id long, at long"
-_NAMES = ["h", "id", "at"]
+_ROWS = "h long, id long, sub long, at long"
+_NAMES = ["h", "id", "sub", "at"]
+_PLACES, _PLACE_NAMES = "id long, sub long, at int", ["id", "sub", "at"]
 #: kind: one that stands for its hash in a task; the same, with others there; one of the others.
 ONE, SEVERAL, OTHER = 0, 1, 2
 
 
-def _reduced(parts: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _reduced(parts: list[tuple[np.ndarray, int, np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
     """Rows of (hash, document, position, 32 more hash bits), where the first of equal ones by document and position stands for them."""
     h, at, more = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3))
-    id_ = np.repeat(np.array([p[1] for p in parts], np.int64), [len(p[0]) for p in parts])
-    order = np.lexsort((at, id_, more, h))
-    h, id_, at, more = h[order], id_[order], at[order], more[order]
+    id_, sub = (np.repeat(np.array([p[i] for p in parts], np.int64), [len(p[0]) for p in parts]) for i in (1, 4))
+    order = np.lexsort((at, sub, id_, more, h))
+    h, id_, sub, at, more = h[order], id_[order], sub[order], at[order], more[order]
     head = np.ones(len(h), bool)
     head[1:] = (h[1:] != h[:-1]) | (more[1:] != more[:-1])
-    twice = np.zeros(len(h), bool)  # rows that share a key repeat the document
-    twice[1:] = ~head[1:] & (id_[1:] == id_[:-1]) & (at[1:] == at[:-1])
+    twice = np.zeros(len(h), bool)  # rows that share key and text repeat the document
+    twice[1:] = ~head[1:] & (id_[1:] == id_[:-1]) & (sub[1:] == sub[:-1]) & (at[1:] == at[:-1])
     several = np.append(head[1:] == 0, False)
     kind = np.where(head, np.where(several, SEVERAL, ONE), OTHER).astype(np.int8)
-    key = np.where(head, h, mix(h + mix(id_.view(np.uint64) + at.astype(np.uint64) * _BASE)))
+    key = np.where(head, h, mix(h + mix(id_.view(np.uint64) + at.astype(np.uint64) * _BASE + sub.view(np.uint64) * _BASE2)))
     packed = (more.astype(np.uint64) << np.uint64(32)) | (at.astype(np.uint64) << np.uint64(2)) | kind.astype(np.uint64)
     keep = np.argsort(order)  # as they came: neighbours share the document, which packs better
     keep = keep[~twice[keep]]
-    return pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(id_[keep]), pa.array(packed[keep].view(np.int64))], _NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(id_[keep]), pa.array(sub[keep]), pa.array(packed[keep].view(np.int64))], _NAMES)
 
 
 def _place(at: np.ndarray) -> np.ndarray:
@@ -106,7 +107,7 @@ def _sent(batches: Iterator[pa.RecordBatch], make: Callable) -> Iterator[pa.Reco
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h, at, more = make(row)
                 if len(h):
-                    parts.append((h, row[0], at, more))
+                    parts.append((h, row[0], at, more, row[1]))
                     size += len(h)
                 if size >= TOGETHER:
                     yield _reduced(parts)
@@ -117,56 +118,57 @@ def _sent(batches: Iterator[pa.RecordBatch], make: Callable) -> Iterator[pa.Reco
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by hash: (id, position) of those whose hash occurs more than once."""
+    """Of rows sorted by hash: (id, sub, position) of those whose hash occurs more than once."""
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, id_, at = (c.to_numpy() for c in batch.columns)
+        h, id_, sub, at = (c.to_numpy() for c in batch.columns)
         known = at & 3 != ONE
         if held is not None:
-            h, id_, at, known = (np.concatenate([a, b]) for a, b in zip(held, (h, id_, at, known), strict=True))
+            h, id_, sub, at, known = (np.concatenate([a, b]) for a, b in zip(held, (h, id_, sub, at, known), strict=True))
         same = h[1:] == h[:-1]
         known[1:] |= same
         known[:-1] |= same
-        held = tuple(x[-1:] for x in (h, id_, at, known))
-        yield pa.RecordBatch.from_arrays([pa.array(id_[:-1][known[:-1]]), pa.array(_place(at[:-1][known[:-1]]))], ["id", "at"])
-    if held is not None and held[3][0]:
-        yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(_place(held[2]))], ["id", "at"])
+        held = tuple(x[-1:] for x in (h, id_, sub, at, known))
+        sure = np.flatnonzero(known[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(id_[sure]), pa.array(sub[sure]), pa.array(_place(at[sure]))], _PLACE_NAMES)
+    if held is not None and held[4][0]:
+        yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(held[2]), pa.array(_place(held[3]))], _PLACE_NAMES)
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by hash, document and position: (id, position) of all but the first of a hash."""
+    """Of rows sorted by hash, document and position: (id, sub, position) of all but the first of a hash."""
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, id_, packed = (c.to_numpy() for c in batch.columns)
+        h, id_, sub, packed = (c.to_numpy() for c in batch.columns)
         done = packed & 3 == OTHER
-        gone = [pa.array(id_[done]), pa.array(_place(packed[done]))]
-        h, id_, packed = h[~done], id_[~done], packed[~done] & ~3
+        gone = [pa.array(id_[done]), pa.array(sub[done]), pa.array(_place(packed[done]))]
+        h, id_, sub, packed = h[~done], id_[~done], sub[~done], packed[~done] & ~3
         if last is not None:
-            h, id_, packed = (np.concatenate([a, b]) for a, b in zip(last, (h, id_, packed), strict=True))
+            h, id_, sub, packed = (np.concatenate([a, b]) for a, b in zip(last, (h, id_, sub, packed), strict=True))
         if len(h):
             new = np.ones(len(h), bool)  # not the same window of the same document again
-            new[1:] = (h[1:] != h[:-1]) | (id_[1:] != id_[:-1]) | (packed[1:] != packed[:-1])
-            h, id_, packed = h[new], id_[new], packed[new]
+            new[1:] = (h[1:] != h[:-1]) | (id_[1:] != id_[:-1]) | (sub[1:] != sub[:-1]) | (packed[1:] != packed[:-1])
+            h, id_, sub, packed = h[new], id_[new], sub[new], packed[new]
             again = (h[1:] == h[:-1]) & (packed[1:] >> 32 == packed[:-1] >> 32)
-            yield pa.RecordBatch.from_arrays([pa.array(id_[1:][again]), pa.array(_place(packed[1:][again]))], ["id", "at"])
-            last = (h[-1:], id_[-1:], packed[-1:])
-        yield pa.RecordBatch.from_arrays(gone, ["id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(id_[1:][again]), pa.array(sub[1:][again]), pa.array(_place(packed[1:][again]))], _PLACE_NAMES)
+            last = (h[-1:], id_[-1:], sub[-1:], packed[-1:])
+        yield pa.RecordBatch.from_arrays(gone, _PLACE_NAMES)
 
 
 def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(id, gone): for each document with some, the starts of the windows that also start earlier.
+    """(id, sub, gone): for each document with some, the starts of the windows that also start earlier.
 
-    docs has the columns id (long, not null) and text. Any others are carried to the windows' pass
-    unread, so that its exchange of docs by id is the same as a later join's and is made once.
+    docs has the columns id, sub (long, not null; sub tells documents of one id apart) and text. Any others are carried to the windows' pass
+    unread, so that its exchange of docs by id and sub is the same as a later join's and is made once.
     """
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make(row: tuple) -> tuple:
-            gram, least = anchors(word_hashes(_words(row[1])), size)
+            gram, least = anchors(word_hashes(_words(row[2])), size)
             at = np.unique(least)
             return gram[at], at, np.zeros(len(at), np.uint64)
 
@@ -174,7 +176,7 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make(row: tuple) -> tuple:
-            h = word_hashes(_words(row[1]))
+            h = word_hashes(_words(row[2]))
             _, least = anchors(h, size)
             at = np.flatnonzero(np.isin(least, row[-1]))
             if not len(at):
@@ -183,11 +185,11 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
         return _sent(batches, make)
 
-    found = docs.select("id", "text").mapInArrow(send_anchors, _ROWS).repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "id long, at int")
-    marked = found.groupBy("id").agg(F.collect_set("at").alias("ats"))
-    rows = docs.join(marked.hint("shuffle_hash"), "id").select(*docs.columns, "ats").mapInArrow(send_windows, _ROWS)
-    later = rows.repartition("h").sortWithinPartitions("h", F.shiftright("at", 32), "id", "at").mapInArrow(_later, "id long, at int")
-    return later.groupBy("id").agg(F.collect_list("at").alias("gone"))
+    found = docs.select("id", "sub", "text").mapInArrow(send_anchors, _ROWS).repartition("h").sortWithinPartitions("h").mapInArrow(_shared, _PLACES)
+    marked = found.groupBy("id", "sub").agg(F.collect_set("at").alias("ats"))
+    rows = docs.join(marked.hint("shuffle_hash"), ["id", "sub"]).select(*docs.columns, "ats").mapInArrow(send_windows, _ROWS)
+    later = rows.repartition("h").sortWithinPartitions("h", F.shiftright("at", 32), "id", "sub", "at").mapInArrow(_later, _PLACES)
+    return later.groupBy("id", "sub").agg(F.collect_list("at").alias("gone"))
 
 
 _OUT = {"text": T.StringType(), "n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType()}
@@ -201,14 +203,19 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
     with their own white space, joined by a space; unchanged if nothing goes), n_words, n_removed, kept_sha256 (of
     the kept words joined by one space). Columns of docs with the last three names are replaced.
     A null text has no words and stays null; texts under `size` words stay whole. A null key comes
-    before all others. Rows that share a key count as one document and are not held
-    against each other. Other columns are carried over; an empty table stays empty.
+    before all others. Rows that share key and text count as one document and are not held
+    against each other; unlike texts of one key, or without one, are documents of their own, in
+    order of a hash. Other columns are carried over; an empty table stays empty.
     """
     ship(docs.sparkSession)
     carried = [c for c in docs.columns if c not in outputs and c != text]
     own = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(2**63))).alias("id")
-    rows = docs.select(own, F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_rest"))
-    rows = rows.join(repeated_windows(rows, size).hint("shuffle_hash"), "id", "left")
+    said = F.xxhash64(F.col(f"`{text}`"))
+    unlike = written(docs.select(own, said.alias("sub")).groupBy("id").agg(F.min("sub").alias("a"), F.max("sub").alias("b")).where("a <> b").select("id"))
+    rows = docs.select(own, F.lit(0).cast("long").alias("sub"), F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_rest"))
+    if not unlike.isEmpty():  # else sub is one value, which packs to nothing
+        rows = rows.join(unlike.withColumn("_unlike", F.lit(True)), "id", "left").select("id", F.when(F.col("_unlike"), F.xxhash64("text")).otherwise(F.col("sub")).alias("sub"), "text", "_rest")
+    rows = rows.join(repeated_windows(rows, size).hint("shuffle_hash"), ["id", "sub"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

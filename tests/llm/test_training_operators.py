@@ -103,6 +103,20 @@ def test_substring(spark):
     assert {r[0]: tuple(r)[1:] for r in got} == want and any(gone.values())
 
 
+def test_substring_unlike_texts_of_one_key(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    unique = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(None, "a " * 300), (None, unique("u", 400)), (None, unique("v", 5)), (None, None), (7, unique("w", 60)), (7, "b " * 100), (7, "b " * 100), (8, passage + " x"), (8, passage + " y"), (9, unique("w", 60))]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    lost = defaultdict(list)
+    for r in got:
+        lost[r["doc_id"], (r["text"] or "")[:1], r["n_words"]].append(r["n_removed"])
+    assert len(got) == len(rows) and lost[None, "u", 400] == [0] and lost[None, "v", 5] == [0] and lost[None, "", 0] == [0]
+    assert sorted(n for (i, _, _), v in lost.items() for n in v if i == 8) == [0, 30]
+    assert lost[7, "w", 60] == [0] and lost[7, "b", 100] == [99, 99] and lost[9, "", 60] == [60]
+    assert lost[None, "a", 300] == [299]
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
