@@ -1,7 +1,7 @@
 """Uploaded CSV, TSV, text and Excel files as DataFrames.
 
-Only the head of a file is looked at on the driver, to find encoding, separator and header; the rows are read
-by Spark. Types come from one aggregate over all columns.
+Only the head of a file is looked at on the driver, to find encoding, separator and header; the encoding is held
+against the whole file and the rows are read by Spark. Types come from one aggregate over all columns.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import zipfile
 from collections.abc import Sequence
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +54,26 @@ def sniff_encoding(head: bytes) -> str:
     return "ISO-8859-1"
 
 
+def encoding_of(spark: SparkSession, path: str, head: bytes) -> str:
+    """sniff_encoding(), held against the lines of the whole file: the first that decodes them all."""
+    first = sniff_encoding(head)
+    if first not in ("UTF-8", "GBK") or head.startswith(codecs.BOM_UTF8) or len(head) < HEAD:
+        return first
+
+    def wrong(batches):
+        for batch in batches:
+            said, bad = b"\n".join(x for x in batch.column(0).to_pylist() if x), []
+            for name in ("UTF-8", "GBK"):
+                try:
+                    said.decode(name)
+                except UnicodeDecodeError:
+                    bad.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], ["name"])
+
+    bad = {x["name"] for x in spark.read.text(path).select(F.col("value").cast("binary")).mapInArrow(wrong, "name string").distinct().collect()}
+    return next((name for name in ("UTF-8", "GBK") if name not in bad), "ISO-8859-1")
+
+
 def sniff_separator(text: str) -> str:
     """The separator that is frequent and steady over the first lines; a comma if none is."""
     lines = [x for x in text[:4096].splitlines()[:5] if x.strip()]
@@ -124,28 +145,34 @@ def _rows(spark: SparkSession, path: str, names: list[str], sep: str, quote: str
     return kept.select("r.*")
 
 
-def read_text(spark: SparkSession, path: str, start_row: int = 1, strict: bool = False) -> DataFrame:
+def read_text(spark: SparkSession, path: str, start_row: int = 1, strict: bool = False, size: int = HEAD) -> DataFrame:
     """A separated text file: first with quotes, then without, then with other separators; the first
-    way that gives a plausible header wins. Null cells and rows without a cell go."""
-    head = _head(spark, path)
+    way that gives a plausible header wins. Null cells and rows without a cell go. size: bytes looked at
+    for the header; if it ends behind them, twice as many are."""
+    head = _head(spark, path, size)
     if not head.strip():
         raise IngestError("the file is empty")
-    encoding = sniff_encoding(head)
+    encoding = encoding_of(spark, path, head)
     text = codecs.getincrementaldecoder(encoding)(errors="replace").decode(head, final=False).lstrip("﻿")
     sniffed = separator_for(path, text)
     lines = [x for x in text.splitlines() if x.strip()]
+    if len(lines) <= start_row and len(head) == size:
+        return read_text(spark, path, start_row, strict, 2 * size)
     if len(lines) < start_row:
         raise IngestError("there is no header")
     tried = []
     for sep, quote in [(sniffed, '"'), (sniffed, ""), *[(s, '"') for s in SEPARATORS if s != sniffed]]:
         try:
-            cells = next(csv.reader(io.StringIO("\n".join(lines[start_row - 1 :])), delimiter=sep, skipinitialspace=True, **({"quotechar": quote} if quote else {"quoting": csv.QUOTE_NONE})))
+            reader = csv.reader(io.StringIO("\n".join(lines[start_row - 1 :])), delimiter=sep, skipinitialspace=True, **({"quotechar": quote} if quote else {"quoting": csv.QUOTE_NONE}))
+            cells = next(reader)
         except (csv.Error, StopIteration) as e:
             tried.append(f"{sep!r}: {e}")
             continue
         if len(cells) == 1 and any(s in cells[0] for s in SEPARATORS) or quote and len(cells) < 2 and text.count(quote) % 2:
             tried.append(f"{sep!r}: one column named {cells[0][:40]!r}")
             continue
+        if len(head) == size and reader.line_num > len(lines) - start_row:
+            return read_text(spark, path, start_row, strict, 2 * size)
         df = _rows(spark, path, header_names(cells), sep, quote, encoding, start_row)
         df = df.select(*[nulls(F.col(f"`{c}`")).alias(c) for c in df.columns]).na.drop("all")
         if not df.take(1):

@@ -58,3 +58,15 @@ def test_excel(spark, tmp_path):
         assert df.collect() == [("Ann", None, 7)] and kinds == {"name": "string", "Column_2": "string", "n": "number"}
     with pytest.raises(IngestError):
         load_file(spark, f"file://{path}", "none")
+
+
+def test_behind_the_head(spark, tmp_path):
+    from pivolith.sources import ingest
+
+    for k, (encoding, word) in enumerate((("gbk", "北京"), ("latin-1", "Zoë"), ("utf-8", "北京"))):
+        (tmp_path / f"{k}.csv").write_bytes(("name,n\n" + "abcdefgh,1\n" * 8000 + f"{word},2\n").encode(encoding))
+        assert ingest.read_text(spark, str(tmp_path / f"{k}.csv")).where("n = 2").first()["name"] == word
+    names = [f"c{i}" + "x" * 3000 for i in range(40)]
+    (tmp_path / "wide.csv").write_text(",".join(names) + "\n" + ",".join(map(str, range(40))) + "\n")
+    wide = ingest.read_text(spark, str(tmp_path / "wide.csv"))
+    assert wide.columns == names and list(wide.first()) == list(range(40))
