@@ -15,11 +15,15 @@ the whole canonical URL, which is "." + host + path.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pivolith.llm.common import batches_of_rows, ship
 
@@ -32,7 +36,34 @@ RULES = (
     ("com", "/de/", "block"),
 )
 #: Globs that block a URL which no rule fits; any other such URL is allowed.
-BLOCKED = ("*casino*", "*casino*/**", "*adult*", "*adult*/**", "*free-bets*", "*free-bets*/**", "*spam-farm*", "*spam-farm*/**")
+BLOCKED_FILE = Path(__file__).with_name("blocked_urls.txt")
+
+
+def read_globs(text: str) -> list[str]:
+    """The globs of a block list, whose format its own head explains."""
+    out: list[str] = []
+    for line in text.splitlines():
+        kind, _, word = line.partition("#")[0].strip().partition(" ")
+        word = word.strip()
+        if kind == "host":
+            out += [f"*{before}{word}{after}**" for before in ".-" for after in ".-"]
+        elif kind == "part":
+            out += [f"**/{word}", f"**/{word}/**"]
+        elif kind == "glob":
+            out.append(word)
+        elif kind:
+            raise ValueError(f"a block list has no lines of the kind {kind!r}")
+    return list(dict.fromkeys(out))
+
+
+@lru_cache(1)
+def blocked_globs() -> tuple[str, ...]:
+    return tuple(read_globs(BLOCKED_FILE.read_text()))
+
+
+def as_regex(glob: str) -> str:
+    """A regular expression that matches what the glob covers, for engines whose dot can take a line feed."""
+    return "(?s)^" + "".join(".*" if x == "**" else "[^/]*" if x == "*" else re.escape(x) for x in re.split(r"(\*\*|\*)", glob)) + "$"
 
 
 class Automaton:
@@ -105,17 +136,19 @@ def escape(text: str) -> str:
     return text
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, blocked: Sequence[str] = BLOCKED, key: str = "page_id", url: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, blocked: Sequence[str] | None = None, key: str = "page_id", url: str = "url") -> DataFrame:
     """Judge every URL: key, host, path, rule, verdict.
 
     The longest rule that fits decides; of equally long ones a blocking one, then the first in text
-    order. Without a rule a URL is blocked if a glob of `blocked` covers it, and allowed otherwise.
+    order. Without a rule a URL is blocked if a glob of `blocked` (by default those of blocked_urls.txt) covers
+    it, and allowed otherwise.
     A null URL or one without "://" has an empty host and path, fits no rule and is allowed, as are
     empty texts. Rows are judged alone, so repeated rows repeat; an empty table gives an empty
-    one; columns other than key and url are not read. No shuffle.
+    one; columns other than key and url are not read, whatever their names. No shuffle.
     """
     ship(pages.sparkSession)
     ranked = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r[2] != "block", r[0] + r[1]))
+    blocked = blocked_globs() if blocked is None else blocked
     globs = [f"*.{escape(h)}{escape(p)}**" for h, p, _ in ranked]
     kind = pages.schema[key].dataType.simpleString()
 
@@ -133,4 +166,4 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
                 host, path = ([p[i] for p in parts] for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in (host, path, rule, verdict))], [key, "host", "path", "rule", "verdict"])
 
-    return pages.select(key, url).mapInArrow(run, f"`{key}` {kind}, host string, path string, rule string, verdict string")
+    return pages.select(F.col(f"`{key}`"), F.col(f"`{url}`")).mapInArrow(run, f"`{key}` {kind}, host string, path string, rule string, verdict string")
