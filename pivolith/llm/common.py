@@ -8,9 +8,12 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words are runs of anything but the six ASCII white-space characters.
@@ -40,7 +43,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new one if
+    all run on this machine, as in tests; on a cluster that is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -48,6 +52,8 @@ def scratch_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     made = f"file://{tempfile.mkdtemp(prefix='pivolith-')}"
     sc.setCheckpointDir(made)
     return made
@@ -87,7 +93,38 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def batches_of_rows(batch, size: int = 256):
-    """Slices of an Arrow batch, so that few rows exist as Python objects at a time."""
-    for start in range(0, batch.num_rows, size):
-        yield batch.slice(start, size)
+def batches_of_rows(batch: pa.RecordBatch, size: int = 256, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of an Arrow batch of at most `size` rows and, unless a single row has more, `most` bytes of
+    texts and lists, so that little exists as Python objects at a time."""
+    n = batch.num_rows
+    if batch.nbytes <= most:
+        for start in range(0, n, size):
+            yield batch.slice(start, size)
+        return
+    weight = np.zeros(n, np.int64)
+    for c in batch.columns:
+        kind = c.type
+        if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+            weight += pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(kind) or pa.types.is_large_list(kind):
+            weight += 8 * pc.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(weight), 0
+    while start < n:
+        before = int(ends[start - 1]) if start else 0
+        stop = min(start + size, max(start + 1, int(np.searchsorted(ends, before + most, side="right"))))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def others(df: DataFrame, names: Iterable[str]) -> list[str]:
+    """The columns of df that none of the names stands for; names of columns have no case in Spark."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def private(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while base.lower() in have:
+        base += "_"
+    return base

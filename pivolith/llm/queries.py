@@ -75,7 +75,7 @@ with r as (
 )
 select page_id, host, path, rule,
        case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block'
-            when regexp_matches(host, 'casino|adult|free-bets|spam-farm') then 'block' else 'allow' end as verdict
+            when regexp_matches('.' || host || path, '{"|".join(f"(?:{urlfilter.as_regex(g)})" for g in urlfilter.blocked_globs())}') then 'block' else 'allow' end as verdict
 from j
 """
 
@@ -113,5 +113,5 @@ select id as vec_id, cast((select count(*) from links where a = id) as bigint) a
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"op1_url_filter": _OP1, "op2_substring_dedup": substring.ORACLE, "op4_line_dedup": linededup.ORACLE, "op5_minhash_near_dedup": _OP5, "op8_embedding_near_dedup": _OP8}
+    out = {"op1_url_filter": _OP1, "op2_substring_dedup": substring.ORACLE, "op4_line_dedup": linededup.oracle(), "op5_minhash_near_dedup": _OP5, "op8_embedding_near_dedup": _OP8}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
