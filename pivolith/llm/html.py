@@ -1,14 +1,16 @@
 """Main-text extraction by a linear-chain conditional random field over DOM leaf blocks.
 
 A page is cut into its leaf blocks: runs of text without a block element inside. A block's
-features are the tags and the class and id words of its ancestors, and what its text looks
-like (length, share of link text, final mark, copyright sign). A two-label chain, trained by
+features are the tags and the class and id words of its ancestors, what its text looks
+like (length, share of link text, final mark, copyright sign), and whether it stands before, in or after the
+container with the most text of its own. A two-label chain, trained by
 maximum likelihood on labelled pages, is decoded by Viterbi; blocks of the label `main` are
 the text.
 
 The labelled pages come from labelled_pages(): templates whose blocks are known to be article
 or not. They vary container, nesting, order, class names and text, and include articles without
-any telling container, so that no single feature decides.
+any telling container, headlines in the page's header and comments under names that tell nothing, so that no
+single feature decides.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from __future__ import annotations
 import html as _html
 import random
 import re
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Container, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,47 +28,67 @@ from pyspark.sql import DataFrame
 
 from pivolith.llm.common import batches_of_rows, ship
 
-#: Fixed: elements of HTML that start a block of their own, that are empty, and whose content is no text.
+#: Fixed: elements of HTML that start a block of their own, that are empty, whose content is raw text that no article
+#: shows, whose content isn't shown if they end, and blocks that hold other blocks rather than text.
 BLOCK = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul xmp".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title noscript template textarea iframe svg xmp noframes object canvas math".split())
+RAW = frozenset("script style title textarea iframe noembed noframes".split())
+HIDDEN = frozenset("svg template noscript".split())
+HOLDS = frozenset("article aside body center details dialog div fieldset footer form header html main nav section table td th".split())
 #: An opening tag ends an open element of its group, unless one of the limits stands between.
 ENDS = {t: ({"li"}, {"ul", "ol", "menu", "dir"}) for t in ("li",)} | {t: ({"dt", "dd"}, {"dl"}) for t in ("dt", "dd")} | {t: ({"td", "th"}, {"table", "tr"}) for t in ("td", "th")} | {"tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: What moves a tag's scan on: a quoted value, or the tag's end.
+_STEP = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')|>""")
 
+#: text, features of the ancestors, share of link text, place against the page's richest container
+Block = tuple[str, tuple[str, ...], float, str]
 
-def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
-    """(text, features of the ancestors, share of link text) of the leaf blocks in page order.
+
+def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
+    """The leaf blocks in page order.
 
     Character references are decoded, white space becomes one space. Comments, scripts, styles
     and the like have no blocks. Missing and stray end tags are borne as browsers do: a block
-    ends an open paragraph, an inline end tag doesn't close a block.
+    ends an open paragraph, an inline end tag doesn't close a block. known: the only features that
+    are wanted. Time and memory grow with the page's length, however deep it nests.
     """
     out: list[tuple[str, tuple[str, ...], float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    tags: list[str] = []
+    merged: list[tuple[str, ...]] = []  # distinct features of an element and its ancestors
+    inside: list[int] = []  # the container that an element's text counts for
+    open_at: dict[str, list[int]] = defaultdict(list)
+    block_at: list[int] = []
+    first, last, credit = [0], [-1], [0.0]  # of containers: their blocks, and the characters right in them
     run: list[str] = []
     linked: list[str] = []
-    links = 0
+    endless: set[str] = set()
 
     def flush() -> None:
         if run:
             text = " ".join(_html.unescape("".join(run)).split())
             if text:
-                inside = len(" ".join(_html.unescape("".join(linked)).split()))
-                seen = dict.fromkeys(f for _, fs in stack for f in fs)
-                leaf = next((t for t, _ in reversed(stack) if t in BLOCK), "")
-                out.append((text, (*seen, f"leaf:{leaf}"), min(1.0, inside / len(text))))
+                link = min(1.0, len(" ".join(_html.unescape("".join(linked)).split())) / len(text))
+                out.append((text, (*(merged[-1] if merged else ()), f"leaf:{tags[block_at[-1]] if block_at else ''}"), link))
+                credit[inside[-1] if inside else 0] += len(text) * (1 - link)
             run.clear()
             linked.clear()
 
     def cut(to: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[to:])
-        del stack[to:]
+        for k in range(len(tags) - 1, to - 1, -1):
+            open_at[tags[k]].pop()
+            if tags[k] in HOLDS:
+                last[inside[k]] = len(out)
+        while block_at and block_at[-1] >= to:
+            block_at.pop()
+        del tags[to:], merged[to:], inside[to:]
+
+    def top(names: Iterable[str]) -> int:
+        return max((open_at[t][-1] for t in names if open_at[t]), default=-1)
 
     at, size = 0, len(page)
     while at < size:
@@ -73,7 +96,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         if lt != at:
             piece = page[at : lt if lt >= 0 else size]
             run.append(piece)
-            if links:
+            if open_at["a"]:
                 linked.append(piece)
             if lt < 0:
                 break
@@ -92,69 +115,69 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
                 at = lt + 1
             continue
         tag = m[0].lower()
-        at = m.end()
-        while True:  # to the end of the tag, past quoted values
-            gt = page.find(">", at)
-            if gt < 0:
-                gt = size
-                break
-            quote = min((q for q in (page.find('"', at, gt), page.find("'", at, gt)) if q >= 0), default=-1)
-            if quote < 0 or not page[m.end() : quote].rstrip().endswith("="):
-                if quote >= 0:
-                    at = quote + 1
-                    continue
-                break
-            end = page.find(page[quote], quote + 1)
-            if end < 0:
-                break
-            at = end + 1
+        step = _STEP.search(page, m.end())
+        while step and step[0] != ">":  # to the end of the tag, past quoted values
+            step = _STEP.search(page, step.end())
+        gt = step.start() if step else size
         attrs, at = page[m.end() : gt], min(gt + 1, size)
         if closing:
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    cut(k)
-                    break
-                if tag not in BLOCK and stack[k][0] in BLOCK:
-                    break
+            k = top([tag])
+            if k >= 0 and (tag in BLOCK or not block_at or k > block_at[-1]):
+                cut(k)
             continue
-        if tag in RAW:
-            if not attrs.endswith("/"):
-                end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
-                gt = page.find(">", end.end() - 1) if end else -1
+        if tag in RAW or tag in HIDDEN and tag not in endless:
+            if attrs.endswith("/"):
+                continue
+            end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
+            gt = page.find(">", end.end() - 1) if end else -1
+            if gt >= 0 or tag in RAW:
                 at = gt + 1 if gt >= 0 else size
-            continue
+                continue
+            endless.add(tag)  # as any element without an end
         if tag in BLOCK:
             flush()
-            opened = [t for t, _ in stack]
-            if "p" in opened:
-                cut(opened.index("p"))
+            if open_at["p"]:
+                cut(open_at["p"][0])
             if tag in ENDS:
                 group, limits = ENDS[tag]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in group:
-                        cut(k)
-                        break
-                    if stack[k][0] in limits:
-                        break
+                k = top(group)
+                if k > top(limits):
+                    cut(k)
         if tag == "br":
             run.append(" ")
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
         words = [w for a in _ATTR.finditer(attrs) for w in _WORD.findall((a[2] or a[3] or a[4] or "").lower())] if "=" in attrs else []
-        stack.append((tag, (f"in:{tag}", *[f"is:{w}" for w in words if 1 < len(w) < 24])))
-        links += tag == "a"
+        above = merged[-1] if merged else ()
+        own = dict.fromkeys(f for f in (f"in:{tag}", *[f"is:{w}" for w in words if 1 < len(w) < 24]) if f not in above and (known is None or f in known))
+        open_at[tag].append(len(tags))
+        if tag in BLOCK:
+            block_at.append(len(tags))
+        if tag in HOLDS:
+            inside.append(len(credit))
+            first.append(len(out))
+            last.append(-1)
+            credit.append(0.0)
+        else:
+            inside.append(inside[-1] if inside else 0)
+        tags.append(tag)
+        merged.append((*above, *own) if own else above)
     flush()
-    return out
+    cut(0)
+    last[0] = len(out)
+    home = max(range(len(credit)), key=credit.__getitem__)
+    return [(*b, "before" if k < first[home] else "after" if k >= last[home] else "in") for k, b in enumerate(out)]
 
 
-def features(text: str, inherited: tuple[str, ...], link: float) -> list[str]:
+def features(text: str, inherited: tuple[str, ...], link: float, place: str) -> list[str]:
     words = text.count(" ") + 1
     return [
         *inherited, "bias",
         f"words:{min(5, words.bit_length())}",
         f"link:{round(4 * link)}",
+        f"home:{place}",
         "stop" if text[-1] in ".!?…:;\"'»”" else "nostop",
         *(["copyright"] if "©" in text else []),
     ]
@@ -169,13 +192,13 @@ NOISE = {
     "notice": ("div.cookie", "div#cookie-banner", "div.notice", "div.consent", "div.gdpr", "div.alert", "dialog", "div.popup", "div.modal"),
     "advert": ("div.ad", "div.ads", "div.advert", "div.advertisement", "div.sponsored", "div.promo", "div#banner-ad", "aside.ad", "ins.adsbygoogle"),
     "form": ("form", "form.newsletter", "form#search", "div.subscribe", "form.login"),
-    "comment": ("div.comments", "section#comments", "ul.comment-list", "ol.commentlist", "div.comment", "section.comments", "div.replies", "div#disqus"),
+    "comment": ("div.comments", "section#comments", "ul.comment-list", "ol.commentlist", "div.comment", "section.comments", "div.replies", "div#disqus", "section#respond", "div.reply", "div.responses", "div.discussion", "section.?", "div.?", "section#?", "div", "section#?", "div.?"),
     "share": ("div.share", "ul.social", "div.tags", "div.byline-links"),
 }
-HOMES = ("article", "main article", "main", "div.content", "div#content article", "div.post", "div.entry-content", "div.article-body", "section.story", "div[role=main]", "div#main div.text", "body-div", "table-cell")
+HOMES = ("article", "main article", "main", "div.content", "div#content article", "div.post", "div.entry-content", "div.article-body", "section.story", "div[role=main]", "div#main div.text", "body-div", "table-cell", "div.?", "section#?")
 
 
-def labelled_pages(count: int = 1500, seed: int = 7) -> list[tuple[str, list[bool]]]:
+def labelled_pages(count: int = 2000, seed: int = 7) -> list[tuple[str, list[bool]]]:
     """Pages with the label of each leaf block in order: part of the article or not."""
     rnd = random.Random(seed)
     syllables = ["ba", "co", "de", "fi", "lu", "mar", "no", "per", "qui", "ro", "sta", "ten", "vo", "é", "ß", "ción", "the", "ing"]
@@ -184,7 +207,7 @@ def labelled_pages(count: int = 1500, seed: int = 7) -> list[tuple[str, list[boo
     sentence = lambda a, b: words(a, b).capitalize() + rnd.choice([".", ".", ".", "!", "?", "", "***", "."])
 
     def opened(spec: str) -> tuple[str, str]:
-        m = re.fullmatch(r"(\w+)(?:\.([\w-]+)|#([\w-]+)|\[role=(\w+)\])?", spec)
+        m = re.fullmatch(r"(\w+)(?:\.([\w-]+)|#([\w-]+)|\[role=(\w+)\])?", spec.replace("?", word()))
         attr = f' class="{m[2]}"' if m[2] else f' id="{m[3]}"' if m[3] else f' role="{m[4]}"' if m[4] else ""
         return f"<{m[1]}{attr}>", f"</{m[1]}>"
 
@@ -199,6 +222,24 @@ def labelled_pages(count: int = 1500, seed: int = 7) -> list[tuple[str, list[boo
         elif kind == "footer":
             body.append(f"&copy; {word()}.example {rnd.choice(['&middot;', '-', ''])} {sentence(1, 12)}")
             labels.append(False)
+        elif kind == "header" and rnd.random() < 0.6:  # the site's name, and often a line about it
+            body.append(f"<{(h := rnd.choice(['h1', 'h1', 'h2', 'div', 'p']))}>{words(1, 6)}</{h}>")
+            labels.append(False)
+            if rnd.random() < 0.4:
+                body.append(f"<p>{sentence(1, 9)}</p>")
+                labels.append(False)
+        elif kind == "comment" and rnd.random() < 0.6:  # who, and what they say
+            if rnd.random() < 0.6:
+                body.append(f"<{(h := rnd.choice(['h2', 'h3', 'h4', 'p']))}>{words(1, 4)}</{h}>")
+                labels.append(False)
+            for _ in range(rnd.randint(1, 6)):
+                each = rnd.choice(["div.?", "div", "li", "article", "div.?"])
+                top, end = opened(each)
+                n = rnd.randint(1, 2)
+                said = "".join(f"<p>{sentence(1, rnd.choice([6, 20, 40]))}</p>" for _ in range(n))
+                who = rnd.choice([f"<div>{words(1, 3)}</div>", f"<b>{words(1, 2)}</b>", f'<a href="/{word()}">{words(1, 2)}</a>', ""])
+                body.append(top + who + said + end)
+                labels += [False] * (n + bool(who))
         else:
             n = rnd.randint(1, 4 if kind == "comment" else 3)
             for _ in range(n):
@@ -243,7 +284,7 @@ def labelled_pages(count: int = 1500, seed: int = 7) -> list[tuple[str, list[boo
         labels: list[bool] = []
         parts = []
         for kind in ("menu", "header", "notice", "advert", "side"):
-            if rnd.random() < (0.75 if kind == "menu" else 0.35):
+            if rnd.random() < {"menu": 0.75, "header": 0.6}.get(kind, 0.35):
                 parts.append(kind)
         rnd.shuffle(parts)
         body = "".join(noise(k, labels) for k in parts)
@@ -266,7 +307,8 @@ def labelled_pages(count: int = 1500, seed: int = 7) -> list[tuple[str, list[boo
 class Chain:
     """Weights of a linear-chain conditional random field with the labels other and main."""
 
-    def __init__(self, pages: list[tuple[str, list[bool]]], steps: int = 300, ridge: float = 2e-5) -> None:
+    def __init__(self, pages: list[tuple[str, list[bool]]], steps: int = 200, ridge: float = 2e-5, least: int = 8) -> None:
+        """least: blocks that a feature has to occur in."""
         seqs = []
         for page, labels in pages:
             blocks = leaf_blocks(page)
@@ -274,36 +316,42 @@ class Chain:
                 raise ValueError("labels don't fit the blocks of a labelled page")
             if blocks:
                 seqs.append(([features(*b) for b in blocks], labels))
-        names = sorted({f for fs, _ in seqs for b in fs for f in b})
+        often = Counter(f for fs, _ in seqs for b in fs for f in b)
+        names = sorted(f for f, n in often.items() if n >= least)
         at = {f: i for i, f in enumerate(names)}
-        long = max(len(s[1]) for s in seqs)
-        x = np.zeros((len(seqs), long, len(names)), np.float32)
-        y, real = np.zeros((len(seqs), long), int), np.zeros((len(seqs), long), bool)
+        seqs.sort(key=lambda s: -len(s[1]))  # the pages that have a block j are the first live[j]
+        size = np.array([len(s[1]) for s in seqs])
+        live = [int((size > j).sum()) for j in range(size[0])]
+        y, real = np.zeros((len(seqs), size[0]), int), np.arange(size[0]) < size[:, None]
+        which: list[list[int]] = []
         for i, (fs, labels) in enumerate(seqs):
-            for j, b in enumerate(fs):
-                x[i, j, [at[f] for f in b]] = 1
-            y[i, : len(labels)], real[i, : len(labels)] = labels, True
-        flat = x.reshape(-1, len(names))
+            which += [[at[f] for f in b if f in at] for b in fs]
+            y[i, : len(labels)] = labels
+        flat = np.concatenate(which)  # every block has the feature `bias`
+        of = np.repeat(np.arange(len(which)), [len(x) for x in which])
         w, t = np.zeros(len(names)), np.zeros((2, 2))
-        mean = [np.zeros(len(names)), np.zeros((2, 2))]
-        var = [np.zeros(len(names)), np.zeros((2, 2))]
-        step_real = real[:, 1:]
-        seen = np.stack([[(step_real & (y[:, :-1] == a) & (y[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)])
+        mean, var = [np.zeros_like(w), np.zeros_like(t)], [np.zeros_like(w), np.zeros_like(t)]
+        seen = np.array([[(real[:, 1:] & (y[:, :-1] == a) & (y[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)])
+        n = len(which)
         for k in range(1, steps + 1):
-            one = (flat @ w.astype(np.float32)).reshape(real.shape).astype(float)
-            s = np.stack([np.zeros_like(one), one], 2) * real[:, :, None]
-            move = np.where(step_real[:, :, None, None], t, [[0, -np.inf], [-np.inf, 0]])  # padding repeats the last label
-            f, b = np.empty_like(s), np.zeros_like(s)
-            f[:, 0] = s[:, 0]
-            for j in range(1, long):
-                f[:, j] = s[:, j] + np.logaddexp.reduce(f[:, j - 1, :, None] + move[:, j - 1], axis=1)
-            for j in range(long - 2, -1, -1):
-                b[:, j] = np.logaddexp.reduce(move[:, j] + (s[:, j + 1] + b[:, j + 1])[:, None, :], axis=2)
-            z = np.logaddexp.reduce(f[:, -1], axis=1)
-            p = np.exp(f + b - z[:, None, None])[:, :, 1] * real
-            pair = np.exp(f[:, :-1, :, None] + move + (s[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]) * step_real[:, :, None, None]
-            n = real.sum()
-            grads = [((p - y * real).reshape(-1).astype(np.float32) @ flat) / n + ridge * w, (pair.sum((0, 1)) - seen) / n + ridge * t]
+            s = np.zeros((size[0], 2, len(seqs)))
+            one = np.zeros(real.shape)
+            one[real] = np.bincount(of, w[flat], n)
+            s[:, 1] = one.T
+            f, b = s.copy(), np.zeros_like(s)
+            for j in range(1, size[0]):
+                m = live[j]
+                for c in (0, 1):
+                    f[j, c, :m] += np.logaddexp(f[j - 1, 0, :m] + t[0, c], f[j - 1, 1, :m] + t[1, c])
+            for j in range(size[0] - 2, -1, -1):
+                m = live[j + 1]
+                for c in (0, 1):
+                    b[j, c, :m] = np.logaddexp(s[j + 1, 0, :m] + b[j + 1, 0, :m] + t[c, 0], s[j + 1, 1, :m] + b[j + 1, 1, :m] + t[c, 1])
+            z = np.logaddexp(b[0, 0] + s[0, 0], b[0, 1] + s[0, 1])
+            p = np.exp(f[:, 1] + b[:, 1] - z).T
+            step = real[:, 1:].T
+            pair = np.array([[np.exp(f[:-1, c] + t[c, d] + s[1:, d] + b[1:, d] - z)[step].sum() for d in (0, 1)] for c in (0, 1)])
+            grads = [np.bincount(flat, (p - y)[real][of], len(w)) / n + ridge * w, (pair - seen) / n + ridge * t]
             for i, (g, v) in enumerate(zip(grads, (w, t), strict=True)):
                 mean[i], var[i] = 0.9 * mean[i] + 0.1 * g, 0.99 * var[i] + 0.01 * g * g
                 v -= 0.15 * (mean[i] / (1 - 0.9**k)) / (np.sqrt(var[i] / (1 - 0.99**k)) + 1e-9)
@@ -326,7 +374,7 @@ class Chain:
         return [bool(x) for x in reversed(out)]
 
     def extract(self, page: str | None) -> str:
-        blocks = leaf_blocks(page or "")
+        blocks = leaf_blocks(page or "", self.weight)
         if not blocks:
             return ""
         get = self.weight.get
