@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pivolith.llm.common import batches_of_rows, release, ship
+from pivolith.llm.common import batches_of_rows, others, release, ship
 
 #: Hash buckets of the n-grams.
 WIDTH = 4096
@@ -143,7 +144,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", ambiguous: float = AMBIGUOUS) -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and ambiguous added; columns of docs with these names are replaced.
+    """docs with lang_pred, score (0 to 1) and ambiguous added; columns of docs with these names, in any case, are replaced.
 
     A null text or one without a letter gets `und`, score 0, and counts as ambiguous; so
     does every text if nothing could be learned. Whole texts are read; a repeated row gets the same
@@ -151,8 +152,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", ambiguous: float
     """
     ship(docs.sparkSession)
     added = ("lang_pred", "score", "ambiguous")
-    keep = [c for c in docs.columns if c not in added]
-    at = keep.index(text)
+    keep = others(docs, added)
+    at = keep.index(next(c for c in keep if c.lower() == text.lower()))
+    held = [f"_{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -161,10 +163,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", ambiguous: float
                 names, score, lead = model.decode(x)
                 has &= bool(model.langs)
                 made = [pa.array([n if h else "und" for n, h in zip(names, has, strict=True)], pa.string()), pa.array(np.where(has, score, 0.0)), pa.array(~has | (lead < ambiguous))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*keep, *added])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*held, *added])
         release()
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
+    schema = T.StructType([*[T.StructField(h, docs.schema[c].dataType) for h, c in zip(held, keep, strict=True)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
+    out = docs.select(*[F.col(f"`{c}`").alias(h) for h, c in zip(held, keep, strict=True)]).mapInArrow(run, schema)
+    return out.select(*[F.col(h).alias(c) for h, c in zip(held, keep, strict=True)], *added)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pivolith.llm.common import WORD_PATTERN, batches_of_rows, release, ship, written
+from pivolith.llm.common import WORD_PATTERN, batches_of_rows, others, release, ship, written
 from pivolith.llm.neardup import mix, word_hashes
 
 WINDOW, GRAM = 20, 8
@@ -201,18 +201,19 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
 
     Words are runs of other than ASCII white space, unchanged. outputs: `text` (the kept stretches
     with their own white space, joined by a space; unchanged if nothing goes), n_words, n_removed, kept_sha256 (of
-    the kept words joined by one space). Columns of docs with the last three names are replaced.
+    the kept words joined by one space). Columns of docs with the last three names, in any case, are replaced.
     A null text has no words and stays null; texts under `size` words stay whole. A null key comes
     before all others. Rows that share key and text count as one document and are not held
     against each other; unlike texts of one key, or without one, are documents of their own, in
     order of a hash. Other columns are carried over; an empty table stays empty.
     """
     ship(docs.sparkSession)
-    carried = [c for c in docs.columns if c not in outputs and c != text]
+    text = next(c for c in docs.columns if c.lower() == text.lower())
+    carried = others(docs, (*outputs, text))
     own = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(2**63))).alias("id")
     said = F.xxhash64(F.col(f"`{text}`"))
     unlike = written(docs.select(own, said.alias("sub")).groupBy("id").agg(F.min("sub").alias("a"), F.max("sub").alias("b")).where("a <> b").select("id"))
-    rows = docs.select(own, F.lit(0).cast("long").alias("sub"), F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_rest"))
+    rows = docs.select(own, F.lit(0).cast("long").alias("sub"), F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carried)]).alias("_rest"))
     if not unlike.isEmpty():  # else sub is one value, which packs to nothing
         rows = rows.join(unlike.withColumn("_unlike", F.lit(True)), "id", "left").select("id", F.when(F.col("_unlike"), F.xxhash64("text")).otherwise(F.col("sub")).alias("sub"), "text", "_rest")
     rows = rows.join(repeated_windows(rows, size).hint("shuffle_hash"), ["id", "sub"], "left")
@@ -246,10 +247,10 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([batch.column("_rest"), *made], ["_rest", *[f"_{c}" for c in outputs]])
         release()
 
-    schema = T.StructType([T.StructField("_rest", T.StructType([docs.schema[c] for c in carried])), *[T.StructField(f"_{c}", _OUT[c]) for c in outputs]])
+    schema = T.StructType([T.StructField("_rest", T.StructType([T.StructField(f"_{i}", docs.schema[c].dataType) for i, c in enumerate(carried)])), *[T.StructField(f"_{c}", _OUT[c]) for c in outputs]])
     out = rows.select("_rest", "text", "gone").mapInArrow(run, schema)
     order = [c for c in docs.columns if c in carried or c == text and "text" in outputs] + [c for c in outputs if c != "text"]
-    return out.select(*[F.col(f"_rest.`{c}`").alias(c) if c in carried else F.col("_text" if c == text else f"_{c}").alias(c) for c in order])
+    return out.select(*[F.col(f"_rest._{carried.index(c)}").alias(c) if c in carried else F.col("_text" if c == text else f"_{c}").alias(c) for c in order])
 
 
 #: DuckDB SQL for op2's rows; quadratic in nothing, but it spells out every window.
