@@ -36,14 +36,19 @@ def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """(key, _n) of the keys with several rows, as a table, so that a large key's join can be split."""
+    return written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+
+
 def in_blocks(rows: DataFrame) -> DataFrame:
-    """rows with the columns key and id, dealt to cells (key, i, j): a key's rows fall into blocks by
-    a hash of id, and each pair of blocks is a cell. A key of one block is one cell."""
-    size = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))  # a table, so that a large key's join can be split
+    """rows with the columns key, id and _n (rows of the key), dealt to cells (key, i, j): a key's rows fall into
+    blocks by a hash of id, and each pair of blocks is a cell. A key of one block is one cell."""
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
+    kept = [c for c in rows.columns if c not in ("key", "_n")]
     own = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
-    each = rows.join(size, "key").select(*rows.columns, own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
-    dealt = each.select("key", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), *[c for c in [*rows.columns, "block"] if c != "key"])
+    each = rows.select("key", *kept, own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
+    dealt = each.select("key", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), *kept, "block")
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 

@@ -2,18 +2,18 @@
 
 A rotation is learned on a bounded sample so that the signs of the rotated coordinates make a
 balanced code with little quantisation error; several rotations, from different starts, give as many bits
-as are needed. The code is cut into chunks; each chunk is a Hamming table in which a vector
-stands under every pattern with one bit left out, so two vectors meet in a table if the chunk differs
-in at most one bit. The width of a chunk follows the logarithm of the number of vectors, which keeps
-buckets short at every size, and the number of chunks follows from the width and from
-how often bits of sampled vectors turned by the threshold's angle differ, so that a pair just
-at the threshold is missed with a chance of at most `miss`.
-
-Pairs whose codes are close name the buckets worth looking into; only for these the vectors
-are fetched, and all pairs in a bucket are reranked by the cosine of the original vectors. A pair is
-counted in the first bucket that it shares. Buckets are dealt out in blocks, and a block returns for
-each vector its number of links and one representative of its component, never the
-pairs, so large groups cost arithmetic but no rows.
+as are needed. The code is cut into chunks, one for each Hamming table, and a vector stands under its
+chunk in each: by the pigeonhole principle codes that differ in fewer bits than there are tables share a chunk. A chunk
+is SPARE bits wider than the logarithm of the number of vectors, which keeps buckets short at every
+size; the number of tables follows from how often bits of sampled vectors turned by the threshold's angle differ,
+so that a pair just at the threshold is missed with a chance of at most `miss`. Each length of
+vectors has its own codes; a length with few vectors is one bucket.
+
+Keys travel with ids alone. Only members of buckets with several get their codes, and pairs whose codes are
+close name the buckets worth looking into; only for these the vectors are fetched, and all pairs in a bucket are
+reranked by the cosine of the original vectors. A pair is counted in the first bucket that it shares. Buckets are
+dealt out in blocks, and a block returns for each vector its number of links and one representative of its
+component, never the pairs, so large groups cost arithmetic but no rows.
 """
 
 from __future__ import annotations
@@ -26,21 +26,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pivolith.llm.blocks import cells, in_blocks, pairs
-from pivolith.llm.common import batches_of_rows, ship, written
+from pivolith.llm.blocks import cells, counted, in_blocks, pairs
+from pivolith.llm.common import batches_of_rows, forget, ship, written
 from pivolith.llm.components import components
 from pivolith.llm.neardup import mix
 
-#: Rows that the rotations are learned on at most.
+#: Rows of a length that the rotations are learned on, and as many that they are measured on, about.
 SAMPLE = 4096
 #: Keys of a vector at most (and no more than vectors, but 256); chunks get shorter before there are more.
-KEYS = 4096
+KEYS = 512
+#: Bits of a chunk beyond the logarithm of the count: one in 2 ** SPARE vectors meets a chance neighbour in a table.
+SPARE = 3
+#: Vectors of a length that meet in one bucket, without codes.
+FEW = 256
+#: Rows of a cell from which its cosines are one product of matrices, and pairs looked at together.
+WIDE, TOGETHER = 24, 1 << 16
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled first, so that nothing overflows."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+class Together:
+    """Codes of a length with few vectors: one table with one bucket."""
+
+    tables, most = 1, 0
+
+    def chunks(self, vectors: np.ndarray) -> np.ndarray:
+        return np.zeros((len(vectors), 1), np.uint32)
 
 
 class Codes:
     """Rotations learned by iterative quantisation, and how codes are cut into tables."""
 
-    def __init__(self, sample: np.ndarray, count: int, cosine: float, miss: float, rounds: int = 30, probe: np.ndarray | None = None) -> None:
+    def __init__(self, sample: np.ndarray, count: int, cosine: float, miss: float, rounds: int = 15, probe: np.ndarray | None = None) -> None:
         """Planned for hyperplanes through the origin, then measured: the codes cut around the sample's mean, where
         angles are larger, so tables are added until at most `miss` of the pairs made of probe (by default
         the sample) don't meet. If that takes too many keys, chunks get shorter, down to one bit, where all meet."""
@@ -49,19 +70,21 @@ class Codes:
         flip = math.acos(min(1.0, cosine)) / math.pi
         self._x, self._rnd, self._parts = sample - self.mean, np.random.default_rng(11), np.zeros((self.dims, 0))
         tests = [(a - self.mean, b - self.mean) for a, b in self.turned(sample if probe is None else probe, cosine)]
-        for self.width in range(min(30, max(8, math.ceil(math.log2(max(2, count))))), 0, -1):
-            meet = (1 - flip) ** self.width + self.width * flip * (1 - flip) ** (self.width - 1)
+        for self.width in range(min(32, max(8, math.ceil(math.log2(max(2, count))) + SPARE)), 0, -1):
+            meet = (1 - flip) ** self.width
             self.tables = max(1, math.ceil(math.log(miss) / math.log(1 - meet))) if meet < 1 else 1
-            while self.width == 1 or self.tables * self.width <= min(KEYS, max(256, count)):
+            while self.width == 1 or self.tables <= min(KEYS, max(256, count)):
                 bits = self.width * self.tables
                 self.turn = self.rotations(bits)
-                far = [np.concatenate([np.bitwise_count(self._cut(a[i : i + 512]) ^ self._cut(b[i : i + 512])) for i in range(0, len(a), 512)]) for a, b in tests]
-                apart = [f.sum(1) for f in far]
+                cut = [tuple(np.concatenate([self._cut(x[i : i + 512]) for i in range(0, len(x), 512)]) for x in pair) for pair in tests]
+                apart = [distance(a, b) for a, b in cut]
                 self.most = max([math.ceil(bits * flip + 5 * math.sqrt(bits * flip * (1 - flip))), *[math.ceil(d.mean() + 5 * d.std()) for d in apart]])
-                if self.width == 1 or all(((f > 1).all(1) | (d > self.most)).mean() <= miss for f, d in zip(far, apart, strict=True)):
+                lost = max([(~self.meet(a, b)).mean() for a, b in cut], default=0.0)
+                if self.width == 1 or lost <= miss:
                     del self._x, self._rnd, self._parts
                     return
-                self.tables += math.ceil(self.tables / 8)
+                # as many more as tables that missed pairs independently of each other would need
+                self.tables = max(self.tables + math.ceil(self.tables / 8), math.ceil(self.tables * math.log(miss) / math.log(min(lost, 0.999))))
 
     def turned(self, vectors: np.ndarray, cosine: float) -> list[tuple[np.ndarray, np.ndarray]]:
         """Unit vectors and others at just the cosine: turned anywhere, and towards or away from one another."""
@@ -95,112 +118,141 @@ class Codes:
         """A row for each vector, a 32-bit number for each table."""
         return self._cut(vectors - self.mean)
 
-    def keys(self, chunks: np.ndarray) -> np.ndarray:
-        """For each vector its keys: every chunk with each bit left out."""
-        masked = chunks[:, :, None] & ~(np.uint32(1) << np.arange(self.width, dtype=np.uint32))
-        place = np.arange(self.tables * self.width, dtype=np.uint64).reshape(self.tables, self.width)
-        return mix((masked.astype(np.uint64) + (place << np.uint64(32)))).reshape(len(chunks), -1)
+    def meet(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether pairs of vectors with these chunks are found."""
+        return (a == b).any(1) & (distance(a, b) <= self.most)
+
 
-    def first(self, a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Whether the key is the first that pairs of vectors with chunks a and b share; key holds its number."""
-        far = np.bitwise_count(a ^ b)
-        table = (far <= 1).argmax(1)
-        at = np.take_along_axis(a ^ b, table[:, None], 1)[:, 0]
-        bit = np.where(at == 0, 0, np.log2(np.maximum(at, 1)).astype(np.int64))
-        return key == table * self.width + bit
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
-    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(a ^ b).sum(1)
+
+def keys(chunks: np.ndarray, dims: int) -> np.ndarray:
+    """For each vector of a length its keys; a key's last ten bits are its table's number."""
+    table = np.arange(chunks.shape[1], dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        return (mix(chunks.astype(np.uint64) + (table << np.uint64(32)) + mix(np.array([dims], np.uint64))) << np.uint64(10)) | table
+
+
+def first(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the key is the first that pairs of vectors with chunks a and b share."""
+    return (a == b).argmax(1) == key & 1023
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, miss: float = 0.005, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Per vector: key, n_links (other vectors at this cosine or above, in double precision),
     component_id (the smallest key that links reach) and kept (it is the own one).
 
-    Null vectors, zero vectors, ones with a null or non-finite component, and ones of another length than
-    the most frequent are linked with nothing. Every link counted is exact; one at the threshold is
-    missed with a chance of at most `miss`, as measured on sampled vectors. Equal vectors are one row in the search and count as
-    often as they occur; rows with the same key are vectors of their own with a common
-    component. A null key takes no part: no links, no component. An empty table gives an empty one.
+    Null and empty vectors, zero vectors and ones with a null or non-finite component are linked with nothing;
+    vectors of different lengths have no cosine. Every link counted is exact; one at the threshold is
+    missed with a chance of at most `miss`, as measured on sampled vectors. Equal vectors are one row in the search and
+    count as often as they occur; rows with the same key are vectors of their own with a common
+    component. A null key takes no part: no links, no component. An empty table gives an empty one; columns other than
+    key and embedding aren't read. The driver sees a count for each length, and of lengths with more than FEW
+    vectors a sample of some 2 * SAMPLE.
     """
-    ship(vectors.sparkSession)
-    value = F.col(embedding).cast("array<double>")
-    size = F.aggregate(F.coalesce(value, F.array().cast("array<double>")), F.lit(0.0), lambda a, x: a + F.when(x.isNull() | F.isnan(x), F.lit(float("inf"))).otherwise(F.abs(x)))
-    rows = vectors.select(F.col(key).cast("long").alias("id"), value.alias("v"), ((size > 0) & (size < float("inf"))).alias("good"))
+    spark = vectors.sparkSession
+    ship(spark)
+    value = F.col(f"`{embedding}`").cast("array<double>")
+    odd = F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), value.alias("v"), F.coalesce(~odd & F.exists(value, lambda x: x != 0), F.lit(False)).alias("good"))
     good = rows.where("good and id is not null")
-    lengths = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dims = lengths[0]["d"] if lengths else 1
-    classes = written(good.where(F.size("v") == dims).groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    count = classes.count()
-    sample = [r["v"] for r in classes.orderBy(F.xxhash64("id"), "id").limit(2 * SAMPLE).select("v").collect()]
-    unit = lambda x: (x / np.abs(x).max(1, keepdims=True)) / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True)
-    known = unit(np.array(sample, np.float64)) if sample else np.zeros((0, dims))
-    codes = Codes(known[:SAMPLE], count, cosine, miss, probe=known[-SAMPLE:])  # measured on others than those learned from, if there are
-    per = codes.tables * codes.width
-
-    def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-        flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        return unit(flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
+    # -0.0 and 0.0 are one value to groupBy() as to the cosine
+    classes = written(good.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("d", F.size("v")))
+    counts = {r["d"]: r["count"] for r in classes.groupBy("d").count().collect()}
+    codes: dict[int, Codes | Together] = {d: Together() for d in counts}
+    for d, count in sorted(counts.items()):
+        if count > FEW:  # a stretch of the hash, so that no task sees more than its own rows
+            part = classes.where((F.col("d") == d) & (F.pmod(F.xxhash64("id", F.lit(d)), F.lit(count)) < 2 * SAMPLE)).select("id", "v").limit(3 * SAMPLE).collect()
+            known = unit(np.array([r["v"] for r in sorted(part, key=lambda r: r["id"])]))[np.random.default_rng(7).permutation(len(part))]
+            codes[d] = Codes(known[:SAMPLE], count, cosine, miss, probe=known[-SAMPLE:])  # measured on others than those learned from, if there are
+
+    def by_length(lengths: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for d in np.unique(lengths):
+            yield int(d), np.flatnonzero(lengths == d)
+
+    def matrix(column: pa.Array, d: int) -> np.ndarray:
+        return unit(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in batches_of_rows(whole, 512):
-                chunk = codes.chunks(matrix(batch.column(1)))
-                raw = [c.tobytes() for c in chunk]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(codes.keys(chunk).reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(per, dtype=np.int32), len(chunk))),
-                    pa.array(np.repeat(batch.column(0).to_numpy(), per)), pa.array(raw, pa.binary()).take(pa.array(np.repeat(np.arange(len(chunk)), per))),
-                ], ["key", "no", "id", "code"])
-
-    def code_of(table: pa.Table) -> np.ndarray:
-        return np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint32).reshape(-1, codes.tables)
+                for d, at in by_length(batch.column(2).to_numpy()):
+                    own = batch.take(pa.array(at))
+                    chunk = codes[d].chunks(matrix(own.column(1), d))
+                    made = keys(chunk, d).view(np.int64)
+                    raw = np.ascontiguousarray(chunk)
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array([c.tobytes() for c in raw], pa.binary()), pa.array(list(made), pa.list_(pa.int64()))], ["id", "d", "code", "keys"])
 
     def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in cells(batches):
-            code, no, hit = code_of(table), table.column("no").to_numpy(), np.zeros(table.num_rows, bool)
-            for a, b in pairs(table):
-                near = codes.distance(code[a], code[b]) <= codes.most
-                a, b = a[near], b[near]
-                own = codes.first(code[a], code[b], no[a])
-                hit[a[own]] = hit[b[own]] = True
-            yield from table.select(["key", "no", "id"]).filter(pa.array(hit)).to_batches()
+        for every in cells(batches):
+            for d, at in by_length(every.column("d").to_numpy()):
+                table = every.take(pa.array(at))
+                own, hit, key_ = codes[d], np.zeros(table.num_rows, bool), table.column("key").to_numpy()
+                code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint32).reshape(-1, own.tables)
+                for x, y in pairs(table):
+                    for s in range(0, len(x), TOGETHER):
+                        a, b = x[s : s + TOGETHER], y[s : s + TOGETHER]
+                        near = (distance(code[a], code[b]) <= own.most) & first(code[a], code[b], key_[a])
+                        hit[a[near]] = hit[b[near]] = True
+                yield from table.select(["key", "id"]).filter(pa.array(hit)).to_batches()
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in cells(batches):
-            x, id_, copies, block, no = matrix(table.column("v")), *(table.column(c).to_numpy() for c in ("id", "copies", "block", "no"))
-            cell = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], 1)
-            code = codes.chunks(x)
-            starts = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]).any(1)]))
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for s, e in zip(starts, [*starts[1:], len(cell)], strict=True):
-                a, b = np.nonzero(np.triu(x[s:e] @ x[s:e].T >= cosine - 1e-9, 1))
-                a, b = a + s, b + s
-                own = (np.einsum("ij,ij->i", x[a], x[b]) >= cosine) & ((cell[s, 1] == cell[s, 2]) | (block[a] != block[b]))
-                a, b = a[own], b[own]
-                own = codes.first(code[a], code[b], no[a])
-                a, b = a[own], b[own]
+        for every in cells(batches):
+            for d, at in by_length(every.column("d").to_numpy()):
+                table = every.take(pa.array(at))
+                x = matrix(table.column("v").combine_chunks(), d)
+                id_, copies, block, key_ = (table.column(c).to_numpy() for c in ("id", "copies", "block", "key"))
+                cell = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+                code = codes[d].chunks(x)
+                starts = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]).any(1)]))
+                sizes = np.diff([*starts, len(cell)])
+
+                def close() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                    """Candidates: all pairs of small cells, and those of large ones whose product is near the threshold."""
+                    small = np.flatnonzero(np.repeat(sizes < WIDE, sizes))
+                    for a, b in pairs(table.select(["key", "i", "j", "block"]).take(pa.array(small))):
+                        yield small[a], small[b]
+                    for s, n in zip(starts[sizes >= WIDE], sizes[sizes >= WIDE], strict=True):
+                        a, b = np.nonzero(np.triu(x[s : s + n] @ x[s : s + n].T >= cosine - 1e-9, 1))
+                        own = (cell[s, 1] == cell[s, 2]) | (block[a + s] != block[b + s])
+                        yield a[own] + s, b[own] + s
+
+                found = [np.zeros((2, 0), np.int64)]
+                for every_a, every_b in close():
+                    for s in range(0, len(every_a), TOGETHER):
+                        a, b = every_a[s : s + TOGETHER], every_b[s : s + TOGETHER]
+                        linked = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
+                        a, b = a[linked], b[linked]
+                        own = first(code[a], code[b], key_[a])
+                        found.append(np.stack([a[own], b[own]]))
+                a, b = np.concatenate(found, 1)
                 if not len(a):
                     continue
-                links = np.bincount(a - s, copies[b], e - s) + np.bincount(b - s, copies[a], e - s)
-                label = id_[s:e].copy()
+                links = np.bincount(a, copies[b], len(x)) + np.bincount(b, copies[a], len(x))
+                label = id_.copy()
                 while True:
                     was = label.copy()
-                    np.minimum.at(label, a - s, was[b - s])
-                    np.minimum.at(label, b - s, was[a - s])
+                    np.minimum.at(label, a, was[b])
+                    np.minimum.at(label, b, was[a])
                     if (was == label).all():
                         break
                 told = links > 0
-                out.append((id_[s:e][told], links[told].astype(np.int64), label[told]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["id", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(id_[told]), pa.array(links[told].astype(np.int64)), pa.array(label[told])], ["id", "links", "root"])
 
-    coded = classes.select("id", "v").mapInArrow(encode, "key long, no int, id long, code binary")
-    chosen = in_blocks(coded).mapInArrow(promising, "key long, no int, id long").distinct()
-    found = written(in_blocks(chosen.join(classes, "id").select("key", "no", "id", "copies", "v")).mapInArrow(rerank, "id long, links long, root long"))
+    coded = written(classes.select("id", "v", "d").mapInArrow(encode, "id long, d int, code binary, keys array<long>"))
+    each = coded.select("id", F.explode("keys").alias("key"))
+    members = each.join(counted(each), "key").select("key", "id", "_n")
+    dealt = in_blocks(members.join(coded.select("id", "d", "code"), "id").select("key", "id", "d", "code", "_n"))
+    chosen = written(dealt.mapInArrow(promising, "key long, id long").distinct())
+    again = chosen.join(counted(chosen), "key").join(classes.select("id", "d", "copies", "v"), "id").select("key", "id", "d", "copies", "v", "_n")
+    found = written(in_blocks(again).mapInArrow(rerank, "id long, links long, root long"))
+    for done in (coded, chosen):
+        forget(done)
     placed = written(components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     of_class = classes.join(links, "id", "left").join(placed, "id", "left").select("v", "id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("component"))
-    usable = F.col("good") & F.col("id").isNotNull() & (F.size("v") == dims)
+    usable = F.col("good") & F.col("id").isNotNull()
     out = rows.select("id", F.when(usable, F.col("v")).alias("v")).join(of_class.withColumnRenamed("id", "rep"), "v", "left")
     own = F.coalesce("component", "id")
     return out.select(F.col("id").cast(vectors.schema[key].dataType).alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
