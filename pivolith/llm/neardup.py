@@ -10,8 +10,9 @@ with chance 0.4233 ** 16 = 1.1e-6.
 
 Keys only propose. In each key's bucket the members are held against a first one, on their full
 shingle sets; the links give components. Where a bucket still spans several components, its
-members and those of the other components meet in blocks, and the pairs whose signatures are
-close enough are held against each other there, without becoming rows. So a group of thousands of copies costs one
+members and those of the other components meet in blocks of signatures. Pairs that are close enough there go on as ids
+to be held against each other on their sets; only where a block has more of them than a few a row, its rows meet once
+more, with their sets, and its pairs don't become rows. So a group of thousands of copies costs one
 comparison for each member, and no link between different texts is lost. Documents with equal sets are
 one from the start. Before the keys are exchanged a task sends one document for each of
 its keys; the others have that one as their first.
@@ -206,15 +207,33 @@ def _across(table: pa.Table, most: int, percent: int) -> tuple[np.ndarray, np.nd
     return a[order], b[order]
 
 
+#: Close pairs a row from which a cell is dense: its rows, not its pairs, go on to the comparison of sets.
+DENSE = 4
+_PROMISING = "key long, i int, j int, a long, b long, component long, n long, code binary, block int"
+
+
 def _promising(most: int, percent: int):
-    """The members of cells that have such a pair."""
+    """Of cells, the pairs that are worth a comparison on full sets, as pairs (a, b) of ids; of a dense cell the
+    rows that have such a pair, with b null, which meet in that cell again. Either way no more rows than
+    DENSE times those of the cells go on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in cells(batches):
-            hit = np.zeros(table.num_rows, bool)
-            for x in _across(table, most, percent):
-                hit[x] = True
-            yield from table.select(["key", "id"]).filter(pa.array(hit)).to_batches()
+            id_ = table.column("id").to_numpy()
+            a, b = _across(table, most, percent)
+            cell = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+            group = np.cumsum(np.concatenate([[0], (cell[1:] != cell[:-1]).any(1)]))
+            rows, close = np.bincount(group), np.bincount(group[a], minlength=group[-1] + 1)
+            dense = (close > DENSE * rows)[group]
+            few = ~dense[a]
+            none = pa.nulls(int(few.sum()), pa.int64())
+            x, y = id_[a[few]], id_[b[few]]
+            yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), none.cast(pa.int32()), pa.array(x), pa.array(y), none, none, none.cast(pa.string()).cast(pa.binary()), none.cast(pa.int32())], ["key", "i", "j", "a", "b", "component", "n", "code", "block"])
+            hit = np.zeros(len(id_), bool)
+            hit[a[~few]] = hit[b[~few]] = True
+            own = table.filter(pa.array(hit))
+            empty = pa.chunked_array([pa.nulls(own.num_rows, pa.int64())])
+            yield from pa.table([own.column("key"), own.column("i"), own.column("j"), own.column("id"), empty, *(own.column(c) for c in ("component", "n", "code", "block"))], ["key", "i", "j", "a", "b", "component", "n", "code", "block"]).to_batches()
 
     return run
 
@@ -300,9 +319,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     known = firsts.select("id", "n", F.col("sig").alias("code"))
     most = most_different(percent)
     open_ = placed.join(spans, "key").select("key", "id", "component").join(known, "id").select("key", "id", "component", "n", "code")
-    chosen = written(in_blocks_across(open_).mapInArrow(_promising(most, percent), "key long, id long").distinct())
-    held = chosen.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")).join(known.join(sets, "id"), "id")
-    more = in_blocks_across(held.select("key", "id", "component", "n", "code", "own")).mapInArrow(_linked(most, percent), "a long, b long")
+    chosen = written(in_blocks_across(open_).mapInArrow(_promising(most, percent), _PROMISING))
+    few = _confirmed(chosen.where("b is not null").select("a", "b"), sets, percent)
+    dense = chosen.where("b is null").drop("b").withColumnRenamed("a", "id").join(sets, "id").select("key", "i", "j", "id", "component", "n", "code", "block", "own")
+    more = few.union(dense.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_linked(most, percent), "a long, b long"))
     found = written(components(links.union(more)))
     for done in (chosen, members, sets):
         forget(done)
