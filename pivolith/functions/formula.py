@@ -187,6 +187,10 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "Math.abs": F.abs, "Math.ceil": _whole(F.ceil), "Math.floor": _whole(F.floor), "Math.round": N.js_round, "Math.trunc": _whole(lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))),
     "Math.sqrt": F.sqrt, "Math.cbrt": F.cbrt, "Math.pow": F.pow, "Math.exp": F.exp, "Math.sign": F.signum,
     "Math.log": _log(F.ln), "Math.log10": _log(F.log10), "Math.log2": _log(F.log2),
+    "Math.asin": F.asin, "Math.acos": F.acos, "Math.atan2": F.atan2, "Math.sinh": F.sinh, "Math.cosh": F.cosh, "Math.tanh": F.tanh,
+    "Math.asinh": F.asinh, "Math.acosh": F.acosh, "Math.atanh": F.atanh, "Math.expm1": F.expm1,
+    "Math.log1p": lambda x: F.when(x > -1, F.log1p(x)).when(x == -1, float("-inf")).otherwise(float("nan")),
+    "Math.hypot": lambda *a: F.sqrt(reduce(lambda x, y: x + y, [x * x for x in a])), "Math.fround": lambda x: x.cast("float").cast("double"),
     "Math.sin": F.sin, "Math.cos": F.cos, "Math.tan": F.tan, "Math.atan": F.atan,
     "Math.min": _extreme(F.least), "Math.max": _extreme(F.greatest),
 }

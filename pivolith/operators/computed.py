@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pivolith.functions import formula
 from pivolith.functions.numeric import iferror, num
@@ -23,10 +24,21 @@ def with_computed(df: DataFrame, formulas: Mapping[str, str], fallback: float |
     trees = parsed(formulas, df.columns, aliases)
     order, lost = formula.in_order(trees)
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    from pyspark.sql import types as T
-
     for name in [*order, *[n for n in trees if n in lost]]:
         value = F.lit(0.0) if name in lost else formula.lower(trees[name], lambda f: num(F.col(f"`{f}`"), kinds[f]))
         df = df.withColumn(name, value if fallback is None or name in lost else iferror(value, fallback))
         kinds[name] = T.DoubleType()
     return df
+
+
+def put(formulas: Mapping[str, str], name: str, text: str, fields: list[str], aliases: Mapping[str, str] | None = None) -> dict[str, str]:
+    """The formulas with one added or replaced, which then comes last. A blank name or a formula that can't be read is an error."""
+    if not name.strip():
+        raise ValueError("a computed field has a name")
+    out = {n: t for n, t in formulas.items() if n != name} | {name: text}
+    parsed(out, [f for f in fields if f not in out], aliases)
+    return out
+
+
+def drop(formulas: Mapping[str, str], name: str) -> dict[str, str]:
+    return {n: t for n, t in formulas.items() if n != name}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pivolith.functions.numeric import js_text, num
+from pivolith.operators.computed import with_computed
 
 
 def text_filter(df: DataFrame, wanted: Mapping[str, str]) -> DataFrame:
@@ -48,3 +49,14 @@ def range_filter(df: DataFrame, ranges: Mapping[str, tuple[float | None, float |
 def search_fields(df: DataFrame, said: str = "", hidden: tuple[str, ...] = ()) -> list[str]:
     """Field names with a text in them, sorted, without hidden ones."""
     return sorted(c for c in df.columns if said.lower() in c.lower() and c not in hidden)
+
+
+def prepared(df: DataFrame, formulas: Mapping[str, str] | None = None, texts: Mapping[str, str] | None = None, ranges: Mapping[str, tuple[float | None, float | None]] | None = None, fallback: float | None = None, aliases: Mapping[str, str] | None = None) -> DataFrame:
+    """The rows that a pivot sees: computed fields, then text filters, then ranges, either of which may be on computed fields."""
+    return range_filter(text_filter(with_computed(df, formulas or {}, fallback, aliases), texts or {}), ranges or {})
+
+
+def raw_view(df: DataFrame, hidden: tuple[str, ...] = (), limit: int = 0) -> DataFrame:
+    """Rows as they are shown unpivoted: every field that isn't hidden as text, null as ''."""
+    shown = df.select(*[F.coalesce(js_text(F.col(f"`{f.name}`"), f.dataType), F.lit("")).alias(f.name) for f in df.schema.fields if f.name not in hidden])
+    return shown.limit(limit) if limit else shown

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 from typing import Any
 
@@ -24,8 +24,15 @@ def parse_filter(text: str) -> dict:
     return found
 
 
+def _each(values: Column, name: str) -> Column:
+    """What the elements hold under a name; null if none holds anything."""
+    found = F.filter(F.transform(values, lambda x: x.getField(name)), lambda x: x.isNotNull())
+    return F.when(F.size(found) > 0, found)
+
+
 def at_path(df: DataFrame, path: str) -> tuple[Column, T.DataType]:
-    """A column by name, or by dotted path into structs, maps and JSON texts."""
+    """A column by name, or by dotted path into structs, maps and JSON texts. A path through an array of
+    structs gives the array of what its elements hold there."""
     if path in df.columns:
         return F.col(f"`{path}`"), df.schema[path].dataType
     head, *rest = path.split(".")
@@ -42,6 +49,12 @@ def at_path(df: DataFrame, path: str) -> tuple[Column, T.DataType]:
             value, kind = F.try_element_at(value, F.lit(step)), kind.valueType
         elif isinstance(kind, T.ArrayType) and step.isdigit():
             value, kind = F.get(value, F.lit(int(step))), kind.elementType
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            if step not in kind.elementType.names:
+                return F.lit(None).cast("string"), T.NullType()
+            value, kind = _each(value, step), T.ArrayType(kind.elementType[step].dataType)
+            if isinstance(kind.elementType, T.ArrayType):
+                value, kind = F.flatten(value), kind.elementType
         elif isinstance(kind, T.StringType):
             return F.get_json_object(value, "$." + ".".join([step, *rest])), T.VariantType() if hasattr(T, "VariantType") else kind
         else:
@@ -102,12 +115,22 @@ def _some(df: DataFrame, value: Column, kind: T.DataType, want: Any, lenient: bo
     return F.exists(value, lambda x: _field(df, x, kind, want, lenient))
 
 
+def _holds(df: DataFrame, kind: T.DataType, want: Any, lenient: bool) -> Callable[[Column], Column]:
+    return lambda x: F.coalesce(_field(df, x, kind, want, lenient), F.lit(False))
+
+
 def _field(df: DataFrame, value: Column, kind: T.DataType, want: Any, lenient: bool) -> Column:
     if not (isinstance(want, Mapping) and any(k.startswith("$") for k in want)):
         return _same(value, kind, want)
     tests = []
+    each = kind.elementType if isinstance(kind, T.ArrayType) else None
     for sign, other in want.items():
-        if sign == "$eq":
+        if each is not None and sign in ("$gt", "$gte", "$lt", "$lte", "$regex", "$in", "$mod"):  # any element will do
+            own = {sign: other} | ({"$options": want["$options"]} if sign == "$regex" and "$options" in want else {})
+            tests.append(F.exists(value, _holds(df, each, own, lenient)))
+        elif each is not None and sign == "$nin":
+            tests.append(_no(_field(df, value, kind, {"$in": other}, lenient)))
+        elif sign == "$eq":
             tests.append(_same(value, kind, other))
         elif sign == "$ne":
             tests.append(_no(_same(value, kind, other)))

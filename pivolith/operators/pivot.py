@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pivolith.functions import formula
+from pivolith.functions.formats import Format
 from pivolith.functions.numeric import iferror, js_text, num
 from pivolith.operators.computed import parsed, with_computed
 from pivolith.plans.spec import Metric, PivotSpec
 
 #: Joins the parts of a column key.
 PART = "\x01"
-TOTAL = "汇总"
+#: The total's label, and what a header ends in where a metric is shown in ten thousands.
+TOTAL, IN_TEN_THOUSANDS = "汇总", "（万）"
 KEY, LEVEL, SUBTOTAL = "__key", "__level", "__is_subtotal"
 
 
@@ -80,7 +82,7 @@ def pivot_long(df: DataFrame, spec: PivotSpec, formulas: Mapping[str, str] | Non
         merged, level = leaves.withColumn("_set", F.lit(0)), F.lit(0)
     merged = merged.withColumn(LEVEL, level.cast("int"))
 
-    order, lost = formula.in_order(trees)
+    _, lost = formula.in_order(trees)
     at = {f: i for i, f in enumerate(needed)}
 
     def over_sums(name: str) -> Column:
@@ -97,7 +99,6 @@ def pivot_long(df: DataFrame, spec: PivotSpec, formulas: Mapping[str, str] | Non
         i = at[m.field]
         return {"count": lambda: F.col("n").cast("double"), "avg": lambda: F.col(f"sum{i}") / F.col("n")}.get(m.agg, lambda: F.col(f"{m.agg}{i}"))()
 
-    del order
     return merged.select(
         *[F.coalesce(F.col(r), F.lit("")).alias(r) for r in labels], KEY, LEVEL, ((F.col(LEVEL) > 0) & (F.col(LEVEL) < n)).alias(SUBTOTAL),
         *[value(m).alias(m.name) for m in dict.fromkeys(spec.vals)],
@@ -113,29 +114,40 @@ def column_keys(long: DataFrame) -> list[str]:
     return found
 
 
-def header(key: str, metric: Metric) -> str:
+def header(key: str, metric: Metric, formats: Mapping[str, Format] | None = None) -> str:
+    """The key's parts, then the metric; one shown in ten thousands says so."""
     said = key.replace(PART, " / ")
-    return f"{said}|{metric.name}" if said else metric.name
+    named = metric.name + (IN_TEN_THOUSANDS if (formats or {}).get(f"{metric.field}|{metric.agg}", Format()).ten_thousand else "")
+    return f"{said}|{named}" if said else named
 
 
-def pivot(df: DataFrame, spec: PivotSpec, formulas: Mapping[str, str] | None = None, fallback: float | None = None, keys: list[str] | None = None, aliases: Mapping[str, str] | None = None) -> DataFrame:
+def pivot(df: DataFrame, spec: PivotSpec, formulas: Mapping[str, str] | None = None, fallback: float | None = None, keys: list[str] | None = None, aliases: Mapping[str, str] | None = None, formats: Mapping[str, Format] | None = None) -> DataFrame:
     """The pivot as a table: row fields, __level, __is_subtotal, then for each column key each metric.
 
     Cells without rows are 0. Rows are in collated order of their labels, a group's subtotal after
     its rows, the total (labelled 汇总 in the first row field) last. keys: the column keys and their
-    order, where known; else they are looked up. Without input rows there is no row.
+    order, where known; else they are looked up, and the leaves, which the look-up and the table both need, are
+    cached (clearCache() or an executor's lack of room drops them; they are made again then). formats only matter for
+    headers. Without input rows there is no row.
     """
     spec = normalised(df, spec)
     long = pivot_long(df, spec, formulas, fallback, aliases)
     labels = [f"r{k + 1}" for k in range(len(spec.rows))]
-    keys = column_keys(long) if keys is None else keys
+    if keys is None:
+        long = long.persist() if spec.cols else long
+        keys = column_keys(long) if spec.cols else [""]
     metrics = list(dict.fromkeys(spec.vals))
-    cells = [F.coalesce(F.max(F.when(F.col(KEY) == k, F.col(f"`{m.name}`"))), F.lit(0.0)).alias(f"_{i}_{j}") for i, k in enumerate(keys) for j, m in enumerate(metrics)]
-    wide = long.groupBy(*labels, LEVEL, SUBTOTAL).agg(*cells) if cells else long.select(*labels, LEVEL, SUBTOTAL).distinct()
+    names = [f"_{i}_{j}" for i in range(len(keys)) for j in range(len(metrics))]
+    if spec.cols and keys:
+        each = long.groupBy(*labels, LEVEL, SUBTOTAL).pivot(KEY, keys).agg(*[F.max(f"`{m.name}`").alias(f"m{j}") for j, m in enumerate(metrics)])
+        wide = each.toDF(*labels, LEVEL, SUBTOTAL, *names).na.fill(0.0, names)
+    else:  # one row of long is one of the table
+        wide = long.select(*labels, LEVEL, SUBTOTAL, *[F.coalesce(F.col(f"`{m.name}`"), F.lit(0.0)).alias(n) for m, n in zip(metrics, names, strict=False)] if keys else [])
+        wide = wide if keys else wide.distinct()
     by = [x for k, r in enumerate(labels, 1) for x in (F.col(LEVEL) < k, F.collate(F.col(r), "UNICODE"), F.col(r))]
     wide = wide.orderBy(*by) if by else wide
     first = lambda k, r: F.when(F.col(LEVEL) == 0, TOTAL).otherwise(F.col(r)) if k == 0 else F.col(r)
     return wide.select(
         *[first(k, r).alias(f) for k, (r, f) in enumerate(zip(labels, spec.rows, strict=True))], LEVEL, SUBTOTAL,
-        *[F.col(f"_{i}_{j}").alias(header(k, m)) for i, k in enumerate(keys) for j, m in enumerate(metrics)],
+        *[F.col(f"_{i}_{j}").alias(header(k, m, formats)) for i, k in enumerate(keys) for j, m in enumerate(metrics)],
     )

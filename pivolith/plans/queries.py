@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
+import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,15 +14,15 @@ from pyspark.sql import types as T
 
 from pivolith.functions.formats import Format, format_aggregate, format_number
 from pivolith.functions.numeric import js_text, num
-from pivolith.operators.computed import with_computed
-from pivolith.operators.filters import range_filter, text_filter
-from pivolith.operators.find import find
-from pivolith.operators.order import order_keys
+from pivolith.operators.computed import drop, put, with_computed
+from pivolith.operators.filters import prepared, range_filter, raw_view, search_fields, text_filter
+from pivolith.operators.find import find, parse_filter
+from pivolith.operators.order import order_keys, sort_pivot
 from pivolith.operators.pivot import KEY, LEVEL, SUBTOTAL, pivot, pivot_long
-from pivolith.plans.spec import Metric, PivotSpec
-from pivolith.sources.catalog import Catalog
-from pivolith.sources.ingest import infer_numbers, nulls
-from pivolith.sources.views import displayed
+from pivolith.plans.spec import Metric, PivotSpec, View
+from pivolith.sources.catalog import Catalog, flatten
+from pivolith.sources.ingest import IngestError, infer_numbers, load_file, nulls, separator_for, sniff_encoding, sniff_separator, upload
+from pivolith.sources.views import ViewStore, displayed, export_csv
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -73,25 +75,172 @@ def source_fields(spark, d):
 
 @_query("select vec_id, len(embedding) as parts, label from embeddings")
 def flatten_embedding(spark, d):
-    from pivolith.sources.catalog import flatten
-
     return flatten(_t(spark, d, "embeddings")).select("vec_id", F.size(F.split("embedding", ", ")).cast("long").alias("parts"), "label")
 
 
-@_query("select c_custkey, c_name, c_acctbal, c_mktsegment from customer")
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, deleted at the end."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    path = f"{(named or f'file://{tempfile.gettempdir()}').rstrip('/')}/pivolith-files-{uuid.uuid4().hex}"
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def _single_file(spark: SparkSession, folder: str, ending: str = "csv") -> str:
+    """The one file of a folder that Spark wrote, under a name with an ending."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith("part-"))
+    to = sc._jvm.org.apache.hadoop.fs.Path(f"{folder}/file.{ending}")
+    fs.rename(part, to)
+    return to.toString()
+
+
+def _put_file(spark: SparkSession, raw: bytes, ending: str) -> str:
+    """A small file of the driver's in the shared folder."""
+    sc = spark.sparkContext
+    to = sc._jvm.org.apache.hadoop.fs.Path(f"{_folder(spark)}/file.{ending}")
+    out = to.getFileSystem(sc._jsc.hadoopConfiguration()).create(to)
+    out.write(raw)
+    out.close()
+    return to.toString()
+
+
+_CUSTOMER = "select c_custkey, c_name, c_acctbal, c_mktsegment from customer"
+
+
+def _customer(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+
+
+@_query(_CUSTOMER)
 def csv_roundtrip(spark, d):
     """Export and ingest: what is written is read again, with its types."""
-    from pivolith.sources.ingest import load_file
-    from pivolith.sources.views import export_csv
+    folder = _folder(spark)
+    export_csv(_customer(spark, d), folder)
+    return load_file(spark, _single_file(spark, folder))[0]
+
+
+def _separated(name: str, sep: str, ending: str):
+    def run(spark, d):
+        folder = _folder(spark)
+        _customer(spark, d).coalesce(1).write.options(header="true", sep=sep).csv(folder)
+        return load_file(spark, _single_file(spark, folder, ending))[0]
+
+    run.__name__ = name
+    return _query(_CUSTOMER)(run)
+
+
+_separated("ingest_tsv", "\t", "tsv")
+_separated("ingest_semicolon_txt", ";", "txt")
+_separated("ingest_pipe_sniffed", "|", "csv")
+
+
+@_query("select c_custkey, case when c_custkey % 500 = 0 then '北京' else c_name end as c_name, repeat('x', 200) as filler from customer")
+def ingest_gbk_after_head(spark, d):
+    """GBK texts, the first of them far behind the 64 KB that are looked at."""
+    folder = _folder(spark)
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    rows = _t(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 500 == 0, "北京").otherwise(F.col("c_name")).alias("c_name"), F.lit("x" * 200).alias("filler"))
+    rows.orderBy("c_custkey").coalesce(1).write.options(header="true", encoding="GBK").csv(folder)
+    return load_file(spark, _single_file(spark, folder))[0]
+
+
+@_query("select * from (values (1, 'two' || chr(10) || 'lines'), (2, 'say \"hi\"'), (3, null)) t(a, b)")
+def ingest_quoted_line_feed(spark, d):
+    return load_file(spark, _put_file(spark, b'a,b\n1,"two\nlines"\n2,"say ""hi\"""\n3,N/A\n', "csv"))[0]
+
+
+@_query("select * from (values (1, 'x \"y'), (2, 'z')) t(\"a\"\"\", b)")
+def ingest_without_quoting(spark, d):
+    """A header with a lone quote can't be read with quoting."""
+    return load_file(spark, _put_file(spark, b'a",b\n1,x "y\n2,z\n', "csv"))[0]
+
+
+@_query("select * from (values (1.0::double, 'x', null), (null, 'y', 3::bigint)) t(n, \"Column_2\", \"n.1\")")
+def ingest_start_row(spark, d):
+    """Lines before the header, a blank and a repeated name, an infinity, rows without a cell."""
+    return load_file(spark, _put_file(spark, b"report of the month\nn,,n\n1.0,x,\nInf,y,3\n,,\n", "csv"), start_row=2)[0]
+
+
+@_query("select n_nationkey, n_name, cast(timestamp '2024-01-01' + to_days(cast(n_nationkey as int)) as varchar) as since from nation")
+def ingest_excel(spark, d):
+    """A workbook with numbers, texts and dates."""
+    names = _t(spark, d, "nation").select("n_nationkey", "n_name").collect()
+    cells = lambda r, *c: f"<row>{''.join(c)}</row>"
+    text = lambda s: f'<c t="inlineStr"><is><t>{s}</t></is></c>'
+    rows = [cells(0, text("n_nationkey"), text("n_name"), text("since")), *[cells(1, f"<c><v>{r[0]}</v></c>", text(r[1]), f'<c s="1"><v>{45292 + r[0]}</v></c>') for r in names]]
+    main, raw = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{''.join(rows)}</sheetData></worksheet>")
+    return load_file(spark, _put_file(spark, raw.getvalue(), "xlsx"), sheet="S")[0]
+
+
+@_query("select 'file.csv' as name, count(*) as rows, 4 as fields, 'number' as c_custkey, 'string' as c_name, 'file.csv: ' || count(*) || ' rows, 4 fields' as message from customer")
+def upload_result(spark, d):
+    folder = _folder(spark)
+    export_csv(_customer(spark, d), folder)
+    got = upload(spark, _single_file(spark, folder))
+    return spark.createDataFrame([(got.name, got.count, len(got.fields), got.fields["c_custkey"], got.fields["c_name"], got.message)], "name string, rows long, fields int, c_custkey string, c_name string, message string")
+
+
+@_query("select * from (values ('empty', 'the file is empty'), ('header only', 'there are no rows'), ('xls', '.xls workbooks are not supported: save the file as .xlsx or .csv')) t(what, said)")
+def ingest_failures(spark, d):
+    out = []
+    for what, raw, ending in (("empty", b"", "csv"), ("header only", b"a,b\n", "csv"), ("xls", b"\xd0\xcf", "xls")):
+        try:
+            load_file(spark, _put_file(spark, raw, ending))
+        except IngestError as e:
+            out.append((what, str(e)))
+    return spark.createDataFrame(out, "what string, said string")
+
+
+@_query("select * from (values ('UTF-8'), ('GBK'), ('ISO-8859-1'), (';'), (','), (chr(9))) t(found)")
+def sniffing(spark, d):
+    found = [*map(sniff_encoding, ("é".encode(), "名称".encode("gbk"), b"\xff\x80\x30")), sniff_separator("a;b\n1;2"), sniff_separator("plain"), separator_for("x.tsv", "a,b\n1,2")]
+    return spark.createDataFrame([(x,) for x in found], "found string")
+
+
+@_query("select * from (values ('nation'), ('region')) t(name)")
+def list_sources(spark, d):
+    return spark.createDataFrame([(n,) for n in Catalog(spark, {n: f"{d}/{n}.parquet" for n in ("nation", "region")}).names()], "name string")
 
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
-    path = f"{named.rstrip('/')}/pivolith-export-{os.getpid()}-{abs(hash(d))}.csv"
-    export_csv(_t(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.deleteOnExit(where)
-    part = next(s.getPath().toString() for s in fs.listStatus(where) if s.getPath().getName().startswith("part-"))
-    return load_file(spark, part)[0]
+
+@_query("select vec_id, array_to_string([printf('%.4f', embedding[1]), printf('%.4f', embedding[2]), printf('%.4f', embedding[3])], ' ') as start, len(embedding) as parts from embeddings")
+def flatten_numbers(spark, d):
+    """The text of a flattened array, by its first numbers."""
+    flat = flatten(_t(spark, d, "embeddings").select("vec_id", "embedding"))
+    parts = F.split("embedding", ", ")
+    return flat.select("vec_id", F.array_join(F.transform(F.slice(parts, 1, 3), lambda x: F.format_string("%.4f", x.cast("double"))), " ").alias("start"), F.size(parts).cast("long").alias("parts"))
+
+
+@_query("select * from (values (1, 1.5::double, '1, 2', '{\"a\":1}'), (2, null, '', '{}'), (3, null, null, null)) t(i, x, l, s)")
+def safe_values(spark, d):
+    """NaN and infinities as null, arrays and structs as text."""
+    rows = [(1, 1.5, [1, 2], (1,)), (2, float("nan"), [], (None,)), (3, float("inf"), None, None)]
+    return flatten(spark.createDataFrame(rows, "i int, x double, l array<int>, s struct<a:int>"))
+
+
+@_query("select * from (values ('c', 'one', 'a', 'b avg', 'x', 'g,h', 7.0::double, '€', true, 1), ('c', 'two', '', '', '', '', null, '', false, 0)) t(collection, name, row_fields, metric, formula, hidden, fallback, currency, subtotals, place)")
+def views_roundtrip(spark, d):
+    """Save, replace, list (latest first), get and delete of views, with all that they hold."""
+    with tempfile.TemporaryDirectory() as folder:  # the store is the driver's own file
+        store = ViewStore(f"{folder}/views.json")
+        for v in (View("c", "gone"), View("c", "one"), View("c", "one", PivotSpec(("a",), (), (Metric("b", "avg"),), True), {"x": "b*2"}, {"b|avg": Format(currency="€")}, ("g", "h"), fallback=7.0), View("c", "two")):
+            store.save(v)
+        store.delete("c", "gone")
+        listed = [r["name"] for r in store.list("c")]
+        views = [store.get("c", n) for n in listed]
+    rows = [(v.collection, v.name, ",".join(v.spec.rows), ",".join(m.name for m in v.spec.vals), ",".join(v.formulas), ",".join(v.hidden), v.fallback, "".join(f.currency for f in v.formats.values()), v.spec.subtotals, i) for i, v in enumerate(views)]
+    return spark.createDataFrame(rows, "collection string, name string, row_fields string, metric string, formula string, hidden string, fallback double, currency string, subtotals boolean, place int")
 
 
 # find
@@ -177,7 +326,7 @@ for _agg in ("sum", "count", "min", "max", "avg"):
 
 @_query("select l_returnflag, l_linestatus, cast(2 as int) as __level, false as __is_subtotal, round(sum(l_quantity), 2) as \"l_quantity sum\" from lineitem group by 1, 2")
 def group_two_levels(spark, d):
-    out = pivot(_t(spark, d, "lineitem"), PivotSpec(("l_returnflag", "l_linestatus"), (), (Metric("l_quantity"),), subtotals=False))
+    out = pivot(_t(spark, d, "lineitem"), PivotSpec(("l_returnflag", "l_linestatus"), (), (Metric("l_quantity"),)))
     return _rounded(out.where(F.col(LEVEL) == 2))
 
 
@@ -211,14 +360,14 @@ def pivot_default_metric(spark, d):
     cast(2 - grouping(l_returnflag) - grouping(l_linestatus) as int) as __level, (grouping(l_linestatus) = 1 and grouping(l_returnflag) = 0) as __is_subtotal, round(sum(l_quantity), 2) as "l_quantity sum", round(avg(l_discount), 2) as "l_discount avg"
     from lineitem group by rollup (l_returnflag, l_linestatus)""")
 def subtotals_2(spark, d):
-    return _rounded(pivot(_t(spark, d, "lineitem"), PivotSpec(("l_returnflag", "l_linestatus"), (), (Metric("l_quantity"), Metric("l_discount", "avg")))))
+    return _rounded(pivot(_t(spark, d, "lineitem"), PivotSpec(("l_returnflag", "l_linestatus"), (), (Metric("l_quantity"), Metric("l_discount", "avg")), subtotals=True)))
 
 
 @_query("""select case when grouping(l_returnflag) = 1 then '汇总' else l_returnflag end as l_returnflag, case when grouping(l_linestatus) = 1 then '' else l_linestatus end as l_linestatus, case when grouping(year(l_shipdate)) = 1 then '' else cast(year(l_shipdate) as varchar) end as ship_year,
     cast(3 - grouping(l_returnflag) - grouping(l_linestatus) - grouping(year(l_shipdate)) as int) as __level, (grouping(year(l_shipdate)) = 1 and grouping(l_returnflag) = 0) as __is_subtotal, cast(count(*) as double) as "l_orderkey count", round(min(l_quantity), 2) as "l_quantity min"
     from lineitem group by rollup (l_returnflag, l_linestatus, year(l_shipdate))""")
 def subtotals_3(spark, d):
-    return _rounded(pivot(_dated(_t(spark, d, "lineitem")), PivotSpec(("l_returnflag", "l_linestatus", "ship_year"), (), (Metric("l_orderkey", "count"), Metric("l_quantity", "min")))))
+    return _rounded(pivot(_dated(_t(spark, d, "lineitem")), PivotSpec(("l_returnflag", "l_linestatus", "ship_year"), (), (Metric("l_orderkey", "count"), Metric("l_quantity", "min")), subtotals=True)))
 
 
 @_query("select '汇总' as o_orderpriority, cast(0 as int) as __level, false as __is_subtotal, " + ", ".join(f"round(coalesce({a}(o_totalprice) filter (o_orderstatus = '{s}'), 0), 2) as \"{s}|o_totalprice {a}\"" for s in _STATUS for a in ("sum", "avg")) + " from orders")
@@ -226,7 +375,7 @@ def grand_total(spark, d):
     return _rounded(pivot(_t(spark, d, "orders"), PivotSpec(("o_orderpriority",), ("o_orderstatus",), (Metric("o_totalprice"), Metric("o_totalprice", "avg"))), keys=list(_STATUS)).where(F.col(LEVEL) == 0))
 
 
-_FULL = PivotSpec(("l_returnflag", "l_linestatus"), ("ship_year",), (Metric("l_extendedprice"), Metric("l_quantity", "avg"), Metric("l_orderkey", "count"), Metric("net", "sum"), Metric("share", "sum")))
+_FULL = PivotSpec(("l_returnflag", "l_linestatus"), ("ship_year",), (Metric("l_extendedprice"), Metric("l_quantity", "avg"), Metric("l_orderkey", "count"), Metric("net", "sum"), Metric("share", "sum")), subtotals=True)
 _FORMULAS = {"net": "l_extendedprice * (1 - l_discount)", "share": "DIV(l_discount, l_quantity) * 100"}
 
 
@@ -264,7 +413,7 @@ def computed_cycle(spark, d):
 
 def _ratio(name: str, level: int, sets: str, sql_rows: str):
     def run(spark, d):
-        long = pivot_long(_t(spark, d, "lineitem"), PivotSpec(("l_returnflag", "l_linestatus"), (), (Metric("ratio", "avg"),)), {"ratio": "l_tax / l_discount"})
+        long = pivot_long(_t(spark, d, "lineitem"), PivotSpec(("l_returnflag", "l_linestatus"), (), (Metric("ratio", "avg"),), subtotals=True), {"ratio": "l_tax / l_discount"})
         return _rounded(long.where(F.col(LEVEL) == level).select("r1", "r2", F.col("ratio avg").alias("ratio")), 6)
 
     run.__name__ = name
@@ -302,6 +451,11 @@ def label_text(spark, d):
 # order, formats, ingest rules
 
 
+def _placed(table: DataFrame) -> DataFrame:
+    """A sorted (small) table with the place of each row: a hash of rows would not see their order."""
+    return table.withColumn("_at", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("_at"))).drop("_at")
+
+
 @_query("""select o_orderpriority, cast(row_number() over (order by s desc, o_orderpriority) as int) as place from (select o_orderpriority, sum(o_totalprice) as s from orders group by 1)""")
 def sort_metric(spark, d):
     table = pivot(_t(spark, d, "orders"), PivotSpec(("o_orderpriority",), (), (Metric("o_totalprice"),)))
@@ -314,9 +468,8 @@ def sort_metric(spark, d):
     select s as c_mktsegment, n as c_nationkey, cast(row_number() over (order by w, s, sub, v, n) as int) as place from every""")
 def sort_hierarchy(spark, d):
     rows = ("c_mktsegment", "c_nationkey")
-    table = pivot(_t(spark, d, "customer"), PivotSpec(rows, (), (Metric("c_acctbal", "avg"),)))
-    keys = order_keys(table, rows, "c_acctbal avg")
-    return table.select("*", F.row_number().over(Window.orderBy(*keys)).alias("place")).where(F.col(LEVEL) > 0).select(*rows, "place")
+    table = pivot(_t(spark, d, "customer"), PivotSpec(rows, (), (Metric("c_acctbal", "avg"),), subtotals=True))
+    return _placed(sort_pivot(table, rows, "c_acctbal avg")).where(F.col(LEVEL) > 0).select(*rows, "place")
 
 
 @_query("select o_orderkey, '$' || format('{:,.2f}', floor(o_totalprice * 100 + 0.5) / 100) as money, format('{:.1f}', floor(o_totalprice / 10000 * 10 + 0.5) / 10) || '元' as wan, cast(cast(floor(o_totalprice + 0.5) as bigint) as varchar) as whole from orders")
@@ -342,4 +495,91 @@ def pivot_many_rows(spark, d):
     return _rounded(pivot(rows, PivotSpec(("ship_month",), (), (Metric("l_quantity"),))).where(F.col(LEVEL) == 1))
 
 
+@_query("select case when grouping(o_orderpriority) = 1 then '汇总' else o_orderpriority end as o_orderpriority, cast(row_number() over (order by grouping(o_orderpriority), o_orderpriority) as int) as place from orders group by grouping sets ((o_orderpriority), ())")
+def label_order(spark, d):
+    """Rows of a pivot come in the order of their labels, the total last."""
+    return _placed(pivot(_t(spark, d, "orders"), PivotSpec(("o_orderpriority",), (), (Metric("o_totalprice"),)))).select("o_orderpriority", "place")
+
+
+_WIDE = [(s, y) for s in "FO" for y in range(1995, 2002)]
+
+
+def _wide_cells(status: str, year: int) -> str:
+    of = f"filter (l_linestatus = '{status}' and year(l_shipdate) = {year})"
+    parts = {"l_extendedprice sum": f"sum(l_extendedprice) {of}", "l_discount avg": f"avg(l_discount) {of}", "l_orderkey count": f"cast(count(*) {of} as double)"}
+    return ", ".join(f'round(coalesce({sql}, 0), 4) as "{status} / {year}|{name}"' for name, sql in parts.items())
+
+
+@_query(f"""select case when grouping(l_returnflag) = 1 then '汇总' else l_returnflag end as l_returnflag, case when grouping(l_linenumber) = 1 then '' else cast(l_linenumber as varchar) end as l_linenumber,
+    cast(2 - grouping(l_returnflag) - grouping(l_linenumber) as int) as __level, (grouping(l_linenumber) = 1 and grouping(l_returnflag) = 0) as __is_subtotal, {", ".join(_wide_cells(s, y) for s, y in _WIDE)}
+    from lineitem group by rollup (l_returnflag, l_linenumber)""")
+def pivot_wide_lookup(spark, d):
+    """The wide table, its column keys looked up."""
+    spec = PivotSpec(("l_returnflag", "l_linenumber"), ("l_linestatus", "ship_year"), (Metric("l_extendedprice"), Metric("l_discount", "avg"), Metric("l_orderkey", "count")), subtotals=True)
+    return _rounded(pivot(_dated(_t(spark, d, "lineitem")), spec), 4)
+
+
+@_query("select case when grouping(o_orderstatus) = 1 then '汇总' else o_orderstatus end as o_orderstatus, cast(1 - grouping(o_orderstatus) as int) as __level, false as __is_subtotal, round(sum(o_totalprice), 2) as \"o_totalprice sum（万）\" from orders group by grouping sets ((o_orderstatus), ())")
+def header_in_ten_thousands(spark, d):
+    return _rounded(pivot(_t(spark, d, "orders"), PivotSpec(("o_orderstatus",), (), (Metric("o_totalprice"),)), formats={"o_totalprice|sum": Format(ten_thousand=True)}))
+
+
+@_query("select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 5) as net from lineitem where l_extendedprice * (1 - l_discount) between 1000 and 20000 and contains(lower(l_returnflag), 'a')")
+def filter_pipeline(spark, d):
+    """Computed fields, then texts, then ranges, also on what is computed."""
+    rows = prepared(_t(spark, d, "lineitem"), {"net": "l_extendedprice * (1 - l_discount)"}, {"l_returnflag": " A "}, {"net": (1000, 20000)})
+    return _rounded(rows.select("l_orderkey", "l_linenumber", "net"), 5)
+
+
+@_query("select * from (values ('c_acctbal'), ('c_custkey')) t(field)")
+def field_search(spark, d):
+    return spark.createDataFrame([(f,) for f in search_fields(_t(spark, d, "customer"), "C_", hidden=("c_name", "c_nationkey", "c_mktsegment"))], "field string")
+
+
+@_query("select cast(event_id as varchar) as event_id, event_type, coalesce(case when cast(json_extract(props, '$.k') as double) >= 50 then event_type end, '') as kind from events")
+def raw_rows(spark, d):
+    """The unpivoted view: texts, hidden fields gone, null as ''."""
+    rows = _t(spark, d, "events").withColumn("kind", F.when(F.get_json_object("props", "$.k").cast("double") >= 50, F.col("event_type")))
+    return raw_view(rows.select("event_id", "event_type", "kind", "props"), hidden=("props",))
+
+
+@_query("select * from orders where o_orderstatus = 'F' and o_totalprice < 100000")
+def find_json_text(spark, d):
+    return find(_t(spark, d, "orders"), parse_filter('{"o_orderstatus": "F", "o_totalprice": {"$lt": 100000}}'))
+
+
+@_query("select o_orderkey from orders o where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity > 45) and not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag in ('A', 'N'))")
+def find_through_arrays(spark, d):
+    """Dotted paths through an array of structs: any element will do."""
+    items = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct("l_quantity", "l_returnflag")).alias("items"))
+    return find(items, {"items.l_quantity": {"$gt": 45}, "items.l_returnflag": {"$nin": ["A", "N"]}}, {"o_orderkey": 1})
+
+
+@_query("select l_returnflag as r1, round(sum(l_extendedprice) / sum(l_quantity), 6) as unit from lineitem group by 1")
+def formula_aliases(spark, d):
+    """Formulas may spell a field in another way."""
+    long = pivot_long(_t(spark, d, "lineitem"), PivotSpec(("l_returnflag",), (), (Metric("unit"),)), {"unit": "price / 数量"}, aliases={"price": "l_extendedprice", "数量": "l_quantity"})
+    return _rounded(long.where(F.col(LEVEL) == 1).select("r1", F.col("unit sum").alias("unit")), 6)
+
+
+@_query("select n_nationkey, n_nationkey * 3.0::double as b, n_nationkey * 3.0::double + 1 as a from nation")
+def computed_edit(spark, d):
+    """Computed fields added, replaced (the new one comes last) and removed."""
+    fields = ["n_nationkey", "n_name"]
+    named = put(put(put({}, "a", "n_nationkey", fields), "b", "n_nationkey * 3", fields), "c", "1", fields)
+    return with_computed(_t(spark, d, "nation").select("n_nationkey"), drop(put(named, "a", "b + 1", fields), "c"))
+
+
+@_query("select l_orderkey, l_linenumber, round(asin(l_discount) + acos(l_discount) + atan2(l_tax, l_quantity) + sinh(l_tax) + cosh(l_tax) + tanh(l_tax) + ln(1 + l_tax) + exp(l_tax) - 1 + sqrt(l_tax * l_tax + l_discount * l_discount) + log2(l_quantity) + log10(l_quantity) + cbrt(l_quantity), 6) as x from lineitem")
+def math_functions(spark, d):
+    said = "Math.asin(l_discount) + Math.acos(l_discount) + Math.atan2(l_tax, l_quantity) + Math.sinh(l_tax) + Math.cosh(l_tax) + Math.tanh(l_tax) + Math.log1p(l_tax) + Math.expm1(l_tax) + Math.hypot(l_tax, l_discount) + Math.log2(l_quantity) + Math.log10(l_quantity) + Math.cbrt(l_quantity)"
+    return _rounded(with_computed(_t(spark, d, "lineitem"), {"x": said}).select("l_orderkey", "l_linenumber", "x"), 6)
+
+
+@_query("select * from customer where c_acctbal >= 1000 and c_acctbal <= 9000 and c_nationkey in (1, 2, 3, 5, 8) and regexp_matches(c_mktsegment, '^B')")
+def find_local_orders(spark, d):
+    """The other operators in their lenient form."""
+    return find(_t(spark, d, "customer"), {"c_acctbal": {"$gte": "1,000.00", "$lte": "9000x"}, "c_nationkey": {"$in": [1, 2, 3, 5, 8], "$lt": "9"}, "c_mktsegment": {"$regex": "^B"}}, lenient=True)
+
+
 __all__ = ["SUBTOTAL", "oracle_sql", "queries"]

@@ -29,7 +29,7 @@ class PivotSpec:
     rows: tuple[str, ...] = ()
     cols: tuple[str, ...] = ()
     vals: tuple[Metric, ...] = ()
-    subtotals: bool = True
+    subtotals: bool = False
 
 
 @dataclass
@@ -54,7 +54,7 @@ class View:
         raw = json.loads(text)
         spec = raw.pop("spec", {})
         vals = tuple(Metric(**v) for v in spec.get("vals", ()))
-        raw["spec"] = PivotSpec(tuple(spec.get("rows", ())), tuple(spec.get("cols", ())), vals, spec.get("subtotals", True))
+        raw["spec"] = PivotSpec(tuple(spec.get("rows", ())), tuple(spec.get("cols", ())), vals, spec.get("subtotals", False))
         raw["formats"] = {k: Format(**v) for k, v in raw.get("formats", {}).items()}
         raw["hidden"] = tuple(raw.get("hidden", ()))
         return cls(**raw)

@@ -1,7 +1,8 @@
 """Uploaded CSV, TSV, text and Excel files as DataFrames.
 
 Only the head of a file is looked at on the driver, to find encoding, separator and header; the encoding is held
-against the whole file and the rows are read by Spark. Types come from one aggregate over all columns.
+against the whole file and the rows are read by Spark, in splits unless a row holds a quoted line feed. Types come
+from one aggregate over all columns, which also tells whether there are rows.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import io
 import re
 import zipfile
 from collections.abc import Sequence
+from dataclasses import dataclass
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -21,6 +24,7 @@ from pyspark.sql import types as T
 
 #: Fixed: cells that are null.
 NULLS = ("", "NULL", "null", "N/A", "n/a", "NA", "na", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "NaN", "nan", "None")
+#: Fixed: the separators tried, in this order.
 SEPARATORS = (",", "\t", ";", "|")
 HEAD = 64 * 1024
 
@@ -54,24 +58,31 @@ def sniff_encoding(head: bytes) -> str:
     return "ISO-8859-1"
 
 
-def encoding_of(spark: SparkSession, path: str, head: bytes) -> str:
-    """sniff_encoding(), held against the lines of the whole file: the first that decodes them all."""
+def facts_of(spark: SparkSession, path: str, head: bytes) -> tuple[str, bool]:
+    """The encoding, by sniff_encoding() held against the lines of the whole file: the first that decodes
+    them all; and whether a line ends within quotes, so that rows may hold line feeds."""
     first = sniff_encoding(head)
-    if first not in ("UTF-8", "GBK") or head.startswith(codecs.BOM_UTF8) or len(head) < HEAD:
-        return first
+    if first == "UTF-16":
+        return first, True
+    if len(head) < HEAD:
+        return first, any(x.count(b'"') % 2 for x in head.splitlines())
 
     def wrong(batches):
         for batch in batches:
-            said, bad = b"\n".join(x for x in batch.column(0).to_pylist() if x), []
+            lines, bad = [x for x in batch.column(0).to_pylist() if x], []
+            said = b"\n".join(lines)
             for name in ("UTF-8", "GBK"):
                 try:
                     said.decode(name)
                 except UnicodeDecodeError:
                     bad.append(name)
+            if any(x.count(b'"') % 2 for x in lines):
+                bad.append("quotes")
             yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], ["name"])
 
     bad = {x["name"] for x in spark.read.text(path).select(F.col("value").cast("binary")).mapInArrow(wrong, "name string").distinct().collect()}
-    return next((name for name in ("UTF-8", "GBK") if name not in bad), "ISO-8859-1")
+    found = first if head.startswith(codecs.BOM_UTF8) else next((name for name in ("UTF-8", "GBK") if name not in bad), "ISO-8859-1")
+    return found, "quotes" in bad
 
 
 def sniff_separator(text: str) -> str:
@@ -107,16 +118,20 @@ def nulls(value: Column) -> Column:
     return F.when(~value.isin(*NULLS), value)
 
 
-def infer_numbers(df: DataFrame, strict: bool = False) -> DataFrame:
+def infer_numbers(df: DataFrame, strict: bool = False, rows: bool = False) -> DataFrame:
     """Text columns with a number in them become doubles, and whole numbers longs; other cells of such
-    a column become null. strict: only if all its cells are numbers. Infinities and NaN are null."""
+    a column become null. strict: only if all its cells are numbers. Infinities and NaN are null. rows: none is an error."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not texts:
+        if rows and df.isEmpty():
+            raise IngestError("there are no rows")
         return df
     number = lambda c: F.trim(F.col(f"`{c}`")).try_cast("double")
     plain = lambda c: F.col(f"`{c}`").rlike(r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|[iI]nf(inity)?|[nN]a[nN])\s*$")
     found = lambda c: F.when(plain(c), number(c))
-    facts = df.agg(*[a for i, c in enumerate(texts) for a in (F.count(found(c)).alias(f"n{i}"), F.count(F.col(f"`{c}`")).alias(f"all{i}"), F.count(F.when(~F.col(f"`{c}`").rlike(r"^\s*[+-]?\d{1,18}\s*$"), 1)).alias(f"odd{i}"))]).first()
+    facts = df.agg(F.count(F.lit(1)).alias("rows"), *[a for i, c in enumerate(texts) for a in (F.count(found(c)).alias(f"n{i}"), F.count(F.col(f"`{c}`")).alias(f"all{i}"), F.count(F.when(~F.col(f"`{c}`").rlike(r"^\s*[+-]?\d{1,18}\s*$"), 1)).alias(f"odd{i}"))]).first()
+    if rows and not facts["rows"]:
+        raise IngestError("there are no rows")
     made = {}
     for i, c in enumerate(texts):
         if facts[f"n{i}"] and not (strict and facts[f"n{i}"] < facts[f"all{i}"]):
@@ -129,14 +144,14 @@ def field_types(df: DataFrame) -> dict[str, str]:
     return {f.name: "number" if isinstance(f.dataType, T.NumericType) else "boolean" if isinstance(f.dataType, T.BooleanType) else "string" for f in df.schema.fields}
 
 
-def _rows(spark: SparkSession, path: str, names: list[str], sep: str, quote: str, encoding: str, start_row: int) -> DataFrame:
+def _rows(spark: SparkSession, path: str, names: list[str], sep: str, quote: str, encoding: str, start_row: int, feeds: bool) -> DataFrame:
     """All rows after the header, as texts. Short rows are padded with null, long ones cut."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     options = {"sep": sep, "quote": quote, "escape": '"', "ignoreLeadingWhiteSpace": "true", "mode": "PERMISSIVE"}
     if encoding == "GBK":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     if start_row <= 1:
-        return spark.read.schema(schema).options(**options, header="true", enforceSchema="true", encoding=encoding, multiLine="true").csv(path)
+        return spark.read.schema(schema).options(**options, header="true", enforceSchema="true", encoding=encoding, multiLine=str(feeds and bool(quote)).lower()).csv(path)
     # lines before the header are dropped by their place in the first split; quoted line feeds end a row here
     one = T.StructType([T.StructField("line", T.StringType())])
     lines = spark.read.schema(one).options(sep="\x00", quote="", encoding=encoding).csv(path)
@@ -152,7 +167,7 @@ def read_text(spark: SparkSession, path: str, start_row: int = 1, strict: bool =
     head = _head(spark, path, size)
     if not head.strip():
         raise IngestError("the file is empty")
-    encoding = encoding_of(spark, path, head)
+    encoding, feeds = facts_of(spark, path, head)
     text = codecs.getincrementaldecoder(encoding)(errors="replace").decode(head, final=False).lstrip("﻿")
     sniffed = separator_for(path, text)
     lines = [x for x in text.splitlines() if x.strip()]
@@ -173,11 +188,10 @@ def read_text(spark: SparkSession, path: str, start_row: int = 1, strict: bool =
             continue
         if len(head) == size and reader.line_num > len(lines) - start_row:
             return read_text(spark, path, start_row, strict, 2 * size)
-        df = _rows(spark, path, header_names(cells), sep, quote, encoding, start_row)
-        df = df.select(*[nulls(F.col(f"`{c}`")).alias(c) for c in df.columns]).na.drop("all")
-        if not df.take(1):
-            raise IngestError("there are no rows")
-        return infer_numbers(df, strict)
+        df = _rows(spark, path, header_names(cells), sep, quote, encoding, start_row, feeds)
+        df = df.select(*[nulls(F.col(f"`{c}`")).alias(c) for c in df.columns])
+        df = df.where(F.coalesce(*[F.col(f"`{c}`") for c in df.columns]).isNotNull())
+        return infer_numbers(df, strict, rows=True)
     raise IngestError("no way to read it: " + "; ".join(tried))
 
 
@@ -185,12 +199,34 @@ _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
+#: Fixed: built-in number formats that show a date or a time.
+_DATED = {*range(14, 23), 27, 30, 36, *range(45, 48), 50, 57}
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """The cell styles whose number format shows a date."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")) for f in root.iter(f"{_MAIN}numFmt") if re.search("[ymdhs]", re.sub(r'"[^"]*"|\\.|\[(?!h|m|s)[^\]]*\]', "", (f.get("formatCode") or "").lower()).replace("general", ""))}
+    return {i for i, x in enumerate(root.findall(f"{_MAIN}cellXfs/{_MAIN}xf")) if int(x.get("numFmtId") or 0) in _DATED | own}
+
+
+def _date(serial: str, from_1904: bool) -> str:
+    """Days since the workbook's first day as a timestamp."""
+    days = float(serial)
+    first = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30) if days >= 60 else datetime(1899, 12, 31)  # the format counts a 29 February 1900
+    return str(first + timedelta(milliseconds=round(days * 86_400_000)))[:23]
+
+
 def excel_cells(raw: bytes, sheet: str | int | None = None) -> list[list[str | None]]:
-    """The cells of one sheet of an .xlsx or .xlsm file as texts; by default of the first."""
+    """The cells of one sheet of an .xlsx or .xlsm file as texts, dates as timestamps; by default of the first sheet."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         shared = [] if "xl/sharedStrings.xml" not in z.namelist() else ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
         links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        sheets = [(s.get("name"), links[s.get(_REL)]) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet")]
+        dated, book = _date_styles(z), ElementTree.fromstring(z.read("xl/workbook.xml"))
+        from_1904 = any(p.get("date1904") in ("1", "true") for p in book.iter(f"{_MAIN}workbookPr"))
+        sheets = [(s.get("name"), links[s.get(_REL)]) for s in book.iter(f"{_MAIN}sheet")]
         if sheet is None or str(sheet).isdigit():
             k = int(sheet or 0)
             if k >= len(sheets):
@@ -217,6 +253,8 @@ def excel_cells(raw: bytes, sheet: str | int | None = None) -> list[list[str | N
                 said = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
             elif kind == "b" and said is not None:
                 said = "true" if said == "1" else "false"
+            elif said is not None and kind in (None, "n") and int(c.get("s") or 0) in dated:
+                said = _date(said, from_1904)
             cells.append(said)
         out.append(cells)
     return out
@@ -224,6 +262,8 @@ def excel_cells(raw: bytes, sheet: str | int | None = None) -> list[list[str | N
 
 def read_excel(spark: SparkSession, path: str, sheet: str | int | None = None, start_row: int = 1, strict: bool = False) -> DataFrame:
     """A sheet as a DataFrame. Workbooks are read by one task each, as their format demands."""
+    if path.lower().endswith(".xls"):
+        raise IngestError(".xls workbooks are not supported: save the file as .xlsx or .csv")
     raw = spark.read.format("binaryFile").load(path).select("content").first()
     if raw is None or not raw[0]:
         raise IngestError("the file is empty")
@@ -246,3 +286,22 @@ def load_file(spark: SparkSession, path: str, sheet: str | int | None = None, st
     ending = path.rsplit(".", 1)[-1].lower()
     df = read_text(spark, path, start_row, strict) if ending in ("csv", "tsv", "txt") else read_excel(spark, path, sheet, start_row, strict)
     return df, field_types(df)
+
+
+@dataclass(frozen=True)
+class Upload:
+    """What an upload gives back: the rows, and what is said about them."""
+
+    rows: DataFrame
+    name: str
+    fields: dict[str, str]
+    count: int
+
+    @property
+    def message(self) -> str:
+        return f"{self.name}: {self.count} rows, {len(self.fields)} fields"
+
+
+def upload(spark: SparkSession, path: str, sheet: str | int | None = None, start_row: int = 1, strict: bool = False) -> Upload:
+    df, fields = load_file(spark, path, sheet, start_row, strict)
+    return Upload(df, path.rstrip("/").rsplit("/", 1)[-1], fields, df.count())

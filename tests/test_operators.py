@@ -30,6 +30,14 @@ def test_find(people, want, ids):
     assert sorted(r["id"] for r in find(people, want).collect()) == ids
 
 
+def test_find_through_arrays(spark):
+    rows = [(1, [(9, "a"), (2, "b")]), (2, [(None, "c")]), (3, []), (4, None)]
+    df = spark.createDataFrame(rows, "id int, items array<struct<p:int,q:string>>")
+    cases = [({"items.p": 9}, [1]), ({"items.p": {"$gt": 5}}, [1]), ({"items.p": {"$exists": True}}, [1]), ({"items.q": {"$regex": "^[bc]"}}, [1, 2]), ({"items.q": {"$in": ["c", "x"]}}, [2]), ({"items.p": {"$ne": 9}}, [2, 3, 4]), ({"items.none": 1}, [])]
+    for want, ids in cases:
+        assert sorted(r["id"] for r in find(df, want).collect()) == ids, want
+
+
 def test_find_pieces(people):
     assert find(people, {"age": {"$lt": 1}}, lenient=True).count() == 1  # a blank is 0
     assert find(people, {}, {"id": 1, "name": 1}, skip=1, limit=1, order_by=["id"]).collect() == [(2, "Bob")]
@@ -54,7 +62,7 @@ def sales(spark):
 
 
 def test_pivot_shapes(sales):
-    spec = PivotSpec(("g", "h"), ("m",), (Metric("v"), Metric("v", "avg"), Metric("v", "min"), Metric("v", "count"), Metric("ratio", "max")))
+    spec = PivotSpec(("g", "h"), ("m",), (Metric("v"), Metric("v", "avg"), Metric("v", "min"), Metric("v", "count"), Metric("ratio", "max")), subtotals=True)
     table = pivot(sales, spec, {"ratio": "v / w"})
     rows = table.collect()
     assert [(r["g"], r["h"], r[LEVEL], r[SUBTOTAL]) for r in rows] == [("A", "", 2, False), ("A", "x", 2, False), ("A", "", 1, True), ("b", "", 2, False), ("b", "y", 2, False), ("b", "", 1, True), (TOTAL, "", 0, False)]
@@ -67,7 +75,7 @@ def test_pivot_shapes(sales):
 
 
 def test_levels_add_up(sales):
-    long = pivot_long(sales, PivotSpec(("g", "h", "m"), (), (Metric("v"), Metric("v", "count"))))
+    long = pivot_long(sales, PivotSpec(("g", "h", "m"), (), (Metric("v"), Metric("v", "count")), subtotals=True))
     sums = {r[LEVEL]: (r["s"], r["c"]) for r in long.groupBy(LEVEL).agg(F.sum("v sum").alias("s"), F.sum("v count").alias("c")).collect()}
     assert sums == {k: (37.0, 6.0) for k in range(4)}
 
@@ -79,7 +87,7 @@ def test_pivot_without_rows(sales):
 
 
 def test_hierarchy_sort(sales):
-    table = pivot(sales, PivotSpec(("g", "h"), (), (Metric("v"),)))
+    table = pivot(sales, PivotSpec(("g", "h"), (), (Metric("v"),), subtotals=True))
     rows = [(r["g"], r["h"], r[LEVEL]) for r in sort_pivot(table, ("g", "h"), "v sum").collect()]
     assert rows == [("b", "", 2), ("b", "y", 2), ("b", "", 1), ("A", "", 2), ("A", "x", 2), ("A", "", 1), (TOTAL, "", 0)]
     flat = pivot(sales, PivotSpec(("h",), (), (Metric("v"),)))
