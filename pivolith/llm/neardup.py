@@ -115,10 +115,10 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
                 e1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
                 e2 = np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64)
                 sig = [signature(s).tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(e1.view(np.int64)), pa.array(e2.view(np.int64)), pa.array(sig, pa.binary())], ["id", "n", "e1", "e2", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(e1.view(np.int64)), pa.array(e2.view(np.int64)), pa.array(sig, pa.binary())], ["id", "own", "n", "e1", "e2", "sig"])
         release()
 
-    return docs.mapInArrow(run, "id long, n long, e1 long, e2 long, sig binary")
+    return docs.mapInArrow(run, "id long, own long, n long, e1 long, e2 long, sig binary")
 
 
 _ROWS = "h long, id long, n long, key long, lead long, lead_n long"
@@ -294,12 +294,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     shingles of `words` words, or the whole sequence of a shorter text. Documents are linked if
     100 * intersection >= percent * union. component_id is the smallest key reachable, kept says that
     it is the own one. Null, empty and blank texts have no shingles and are linked with nothing.
-    Rows with the same key are one document (each is returned); a null key is linked with
-    nothing, has a null component_id and isn't kept. Long texts are read whole; an empty table
-    gives an empty one; other columns aren't read.
+    Rows with the same key are one document (each is returned), also if their texts differ: each text's links count, and
+    all share a component. A null key is linked with nothing, has a null component_id and isn't kept. Long texts are
+    read whole; an empty table gives an empty one; other columns aren't read, so their names can't clash.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").cast("long").alias("own"))
+    unlike = written(rows.where("id is not null").groupBy("id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("a <> b").select("id"))
+    several = not unlike.isEmpty()
+    if several:  # these keys' texts are told apart by ids of their own, and linked
+        rows = rows.join(unlike.withColumn("_unlike", F.lit(True)), "id", "left").select(F.when(F.col("_unlike"), F.xxhash64("id", F.xxhash64("text"))).otherwise(F.col("id")).alias("id"), "text", "own")
     signed = written(_signatures(rows, words))
     usable = signed.where("id is not null and n > 0")
     groups = written(usable.groupBy("e1", "e2", "n").agg(F.min("id").alias("rep")))  # a table, so that a large group's join can be split
@@ -323,10 +327,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     few = _confirmed(chosen.where("b is not null").select("a", "b"), sets, percent)
     dense = chosen.where("b is null").drop("b").withColumnRenamed("a", "id").join(sets, "id").select("key", "i", "j", "id", "component", "n", "code", "block", "own")
     more = few.union(dense.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_linked(most, percent), "a long, b long"))
-    found = written(components(links.union(more)))
+    every = links.union(more)
+    if several:
+        heads = signed.where("own <> id and n > 0").join(groups, ["e1", "e2", "n"]).select("own", F.col("rep").alias("id")).distinct()
+        every = every.union(heads.join(heads.groupBy("own").agg(F.min("id").alias("a")), "own").select("a", F.col("id").alias("b")).where("a <> b"))
+    found = written(components(every))
     for done in (chosen, members, sets):
         forget(done)
     rep = signed.join(groups, ["e1", "e2", "n"], "left")
-    out = rep.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    own = F.coalesce("component", "rep", "id")
-    return out.select(F.col("id").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
+    out = rep.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", "own", "n", F.coalesce("component", "rep", "id").alias("component"))
+    if several:
+        least = written(out.where("n > 0").groupBy("component").agg(F.min("own").alias("least")))
+        out = out.join(least, "component", "left").select("id", "own", "n", F.when(F.col("n") > 0, F.coalesce("least", "own")).otherwise(F.col("own")).alias("component"))
+    component = F.when(F.col("own").isNotNull(), F.col("component"))
+    return out.select(F.col("own").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("own") == component, F.lit(False)).alias("kept"))
