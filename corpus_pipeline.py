@@ -7,46 +7,60 @@ of documents, and each stage works on all that its predecessor kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pivolith.llm import langid, linededup, neardup, packing, substring
-from pivolith.llm.common import table, written
+from pivolith.llm.common import forget, table, written
 
 #: Texts that are cut keep their place; only what has no recognisable language and near copies go.
 LANGUAGE_SCORE = 0.5
 
 
-def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The given columns, with n_chars as the text now has it."""
-    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+def _through(docs: DataFrame, use: Callable[[DataFrame], DataFrame], where: Column | None = None, recount: bool = True) -> DataFrame:
+    """use(docs), where it holds, with the columns of docs and only these: all but doc_id and text go through it
+    under names of their own, so that nothing use() adds can take their place. recount: n_chars is made anew."""
+    named = {c: c if c in ("doc_id", "text") else f"_carried_{i}" for i, c in enumerate(docs.columns)}
+    out = use(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()]))
+    out = out if where is None else out.where(where)
+    return out.select(*[F.length("text").cast("long").alias(c) if recount and c == "n_chars" else F.col(f"`{n}`").alias(c) for c, n in named.items()])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; null texts, texts without letters and unclear ones go."""
-    known = langid.identify(docs, langid.fit(docs))
-    return known.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE)).select(*docs.columns)
+    """Documents whose language is recognised, unchanged. Null and empty texts, texts without letters and unclear
+    ones go; a null lang only keeps a row out of the learning, a null doc_id too. Repeated rows
+    all stay or all go; an empty table stays empty."""
+    model = langid.fit(docs)
+    return _through(docs, lambda d: langid.identify(d, model), (F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE), recount=False)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the chunks of lines that occur earlier."""
-    return _counted(linededup.dedup_lines(docs), docs.columns)
+    """Every document, without the chunks of lines that occur earlier. A null text stays null, one that loses all
+    its lines is empty; repeated rows are one document; a null doc_id comes before all others; an
+    empty table stays empty."""
+    return _through(docs, linededup.dedup_lines)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group linked by 0.8 of their five-word shingles."""
+    """One document, that with the smallest id, of each group linked by 0.8 of their five-word shingles. Null, empty
+    and blank texts and rows without doc_id stay; of rows with the same doc_id all stay or all go; an
+    empty table stays empty."""
     gone = neardup.near_duplicates(docs, words=5, percent=80).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the words of 20-word windows that start earlier."""
-    return _counted(substring.remove_repeats(docs, outputs=("text",)), docs.columns)
+    """Every document, without the words of 20-word windows that start earlier. A null text stays null, repeated rows are
+    one document, a null doc_id comes before all others; an empty table stays empty."""
+    return _through(docs, lambda d: substring.remove_repeats(d, outputs=("text",)))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, placed in sequences of at most 1024 ids."""
+    """The pieces of all documents, placed in sequences of at most 1024 ids. A null or empty text is one closing id;
+    repeated rows are packed each; an empty table gives no pieces."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -59,5 +73,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        forget(before)  # if it is a stage's table
     return STAGES[-1][1](spark, docs, sf_dir)
