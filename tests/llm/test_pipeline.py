@@ -51,3 +51,19 @@ def test_stages(spark, tmp_path):
     total = lambda rows: sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in rows)
     assert total(whole.collect()) == total(packed)
     assert whole.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def test_odd_rows_and_carried_columns(spark, tmp_path):
+    prose = "the cat sat on the mat and then it ran away from the big old dog that lived next door to us all year long.\nIt was a fine day of the year.\nAnd so on it goes."
+    rows = [(1, prose), (2, prose), (2, prose), (3, None), (4, ""), (None, prose + " Unique end."), (None, None), (7, "12345 !!"), (8, "one"), (9, "word " * 3000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, Lang_Pred string, n_lines_before int, _made string, gone int, id long"
+    df = spark.createDataFrame([(i, t, None if i == 2 else "en", None, None, 0.25, "kept", 7, "m", 8, 9) for i, t in rows], schema)
+    for name, start in (("odd", df), ("empty", df.where("false"))):
+        docs = start
+        for k, (stage_name, stage) in enumerate(corpus_pipeline.STAGES):
+            docs.write.parquet(f"{tmp_path}/{name}{k}")
+            docs = stage(spark, spark.read.parquet(f"{tmp_path}/{name}{k}"), SF)
+            if stage_name != "packing":
+                assert docs.columns == df.columns
+                assert all((r["score"], r["Lang_Pred"], r["n_lines_before"], r["_made"], r["gone"], r["id"]) == (0.25, "kept", 7, "m", 8, 9) for r in docs.collect()), stage_name
+        assert (docs.count() > 0) == (name == "odd")

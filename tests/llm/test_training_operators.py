@@ -66,23 +66,93 @@ def test_odd_rows(odd):
     assert all(r["decoded"] == (r["text"] or "") for r in bpe.encode_decode(odd, VOCABULARY, keep=("text",)).collect())
 
 
+def covers(glob, url):
+    """A glob against a URL, letter by letter."""
+    at = {0}
+    parts = re.findall(r"\*\*|\*|[^*]", glob)
+    reach = lambda ks: {j for k in ks for j in range(k, len(parts) + 1) if all(x[0] == "*" for x in parts[k:j])}
+    at = reach(at)
+    for c in url:
+        at = reach({k for k in at if k < len(parts) and (parts[k] == "**" or parts[k] == "*" and c != "/")} | {k + 1 for k in at if k < len(parts) and parts[k] == c})
+    return len(parts) in at
+
+
 def test_url_filter(spark):
-    urls = ["http://a.org/x", "http://org/", "http://org", "https://www.EXAMPLE.org/es/1?q", "http://example.org/en/12", "http://notexample.org/es/", "http://x.com/fr/#a", "http://x.com/de/", "ftp://a.casino-x.net", "http://a.net/casino", "no scheme", "", None, "://org/é*", "http://a.com/.org/x", "http://" + "a." * 5000 + "org/" + "p" * 9000]
+    urls = ["http://a.org/x", "http://org/", "http://org", "https://www.EXAMPLE.org/es/1?q", "http://example.org/en/12", "http://notexample.org/es/", "http://x.com/fr/#a", "http://x.com/de/", "ftp://a.casino-x.net", "http://a.net/casino", "http://a.net/x/affiliate/1", "http://a.net/unaffiliated", "http://adult-education.net/", "http://cheap-pills.net/a", "http://roads.net/", "http://my.ads.net/", "http://x.ads1.net/a/banner/b", "no scheme", "", None, "://org/é*", "http://a.com/.org/x", "http://" + "a." * 2000 + "org/" + "p" * 3000]
 
     def judge(url):
         host, path = urlfilter.canonical(url)
         fits = [r for r in urlfilter.RULES if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
         best = max(fits, key=lambda r: len(r[0] + r[1]), default=None)
-        return (host, path, best and best[0] + best[1], best[2] if best else "block" if re.search("casino|adult|free-bets|spam-farm", host) else "allow")
-
-    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
-    assert {r["page_id"]: tuple(r)[1:] for r in urlfilter.filter_urls(df).collect()} == {i: judge(u) for i, u in enumerate(urls)}
+        return (host, path, best and best[0] + best[1], best[2] if best else "block" if any(covers(g, f".{host}{path}") for g in urlfilter.blocked_globs()) else "allow")
+
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate([*urls, *urls])], "page_id long, url string, verdict string")
+    got = {r["page_id"]: tuple(r)[1:] for r in urlfilter.filter_urls(df).select("page_id", "host", "path", "rule", "verdict").collect()}
+    assert got == {i: judge(u) for i, u in enumerate([*urls, *urls])}
+    said = {u: got[i][3] for i, u in enumerate(urls)}
+    assert [said[u] for u in ("http://a.net/x/affiliate/1", "http://a.net/unaffiliated", "http://adult-education.net/", "http://cheap-pills.net/a", "http://roads.net/", "http://my.ads.net/")] == ["block", "allow", "allow", "block", "allow", "block"]
+    assert urlfilter.filter_urls(df.where("false")).count() == 0
     assert urlfilter.canonical("http://A.É/p?x#y") == ("a.É", "/p")
     many = [f"*.h{i}.org/**" for i in range(40)]  # several words
     hit = urlfilter.Automaton(many).run([b".x.h7.org/", b".h39.org/a/b", b".h40.org/"])
     assert [np.flatnonzero(r).tolist() for r in hit] == [[7], [39], []]
 
 
+def cut_lines(lines, byte, window):
+    """(start, end) of the chunks of one cutting."""
+    value = [hashlib.md5(x.encode()).digest()[byte] for x in lines]
+    rolled = [sum(5**k * value[i - k] for k in range(window) if i >= k) % 256 for i in range(len(lines))]
+    ends = [i for i in range(len(lines)) if i == len(lines) - 1 or i and rolled[i] < 128 <= rolled[i - 1]]
+    return list(zip([0, *(e + 1 for e in ends)], [e + 1 for e in ends], strict=False))
+
+
+def test_lines_by_brute_force(spark):
+    rnd = random.Random(8)
+    pool = [f"line {i} of the pool" for i in range(60)] + ["", " "]
+    made = {i: [rnd.choice(pool) if rnd.random() < 0.5 else f"own {i} {k}" for k in range(rnd.randint(0, 25))] for i in range(60)}
+    for i in range(0, 60, 4):
+        made[i][3:3] = pool[5 : 5 + rnd.randint(2, 20)]
+    made[50], made[51] = list(made[0]), ["same"] * 9
+    seen, gone = defaultdict(set), defaultdict(set)
+    for i, x in made.items():
+        for byte, window in enumerate(linededup.WINDOWS):
+            for a, b in cut_lines(x, byte, window) if x else []:
+                if sum(bool(y.strip()) for y in x[a:b]) > 1:
+                    seen["\n".join(x[a:b])].add((i, a, b))
+    for spans in seen.values():
+        for i, a, b in sorted(spans)[1:]:
+            gone[i] |= set(range(a, b))
+    rows = [(i, "\n".join(x), "kept", 4) for i, x in made.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _made string, N_Lines_Removed int").repartition(3)
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(df).collect()}
+    assert {i: (r["text"], r["n_lines_removed"]) for i, r in got.items()} == {i: ("\n".join(y for k, y in enumerate(x) if k not in gone[i]), len(gone[i])) for i, x in made.items()}
+    assert got[0]["_made"] == "kept" and sum(map(len, gone.values())) > 50
+
+
+def test_lines_recall(spark):
+    """Runs of n lines planted into otherwise different texts: the share of the second's lines that goes."""
+    rnd, rows = random.Random(1), []
+    text = lambda k: [f"{k} {rnd.random()}" for _ in range(rnd.randint(5, 20))]
+    for n in (5, 10, 20):
+        for t in range(300):
+            run = [f"run {n} {t} {k}" for k in range(n)]
+            rows += [(len(rows), "\n".join([*text("a"), *run, *text("b")]), n), (len(rows) + 1, "\n".join([*text("c"), *run, *text("d")]), n)]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n int")).groupBy("n").agg(F.sum("n_lines_removed").alias("s")).collect()
+    share = {r["n"]: r["s"] / 300 / r["n"] for r in got}
+    assert share[5] > 0.3 and share[10] > 0.65 and share[20] > 0.8
+
+
+def test_lines_rows_without_a_key(spark):
+    a, b = "\n".join(f"a{i}" for i in range(30)), "\n".join(f"b{i}" for i in range(30))
+    rows = [(None, a), (None, a), (None, b), (1, a), (2, None), (2, "")]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    lost = defaultdict(list)
+    for r in got:
+        lost[r["doc_id"], r["n_lines_before"], (r["text"] or "")[:1]].append(r["n_lines_removed"])
+    assert lost[None, 30, "a"] == [0, 0] and lost[None, 30, "b"] == [0] and lost[2, 0, ""] == [0] and lost[2, 1, ""] == [0]
+    assert sum(sum(v) for k, v in lost.items() if k[0] == 1) > 20
+
+
 def test_substring(spark):
     rnd = random.Random(3)
     passage = [f"p{i}" for i in range(60)]
@@ -174,6 +244,22 @@ def test_near_duplicates(spark):
     assert got == {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
 
 
+def test_near_duplicates_with_unlike_texts_of_one_key(spark):
+    said = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(5, said("a", 50)), (5, said("b", 50)), (3, said("a", 50)), (9, said("b", 50)), (9, said("b", 50)), (7, said("c", 50)), (7, None), (8, None), (None, said("a", 50)), (4, said("d", 9)), (2, "e")]
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2).collect())
+    assert got == [(-1, 49, None, False), (2, 1, 2, True), (3, 49, 3, True), (4, 8, 4, True), (5, 49, 3, False), (5, 49, 3, False), (7, 0, 7, True), (7, 49, 7, True), (8, 0, 8, True), (9, 49, 3, False), (9, 49, 3, False)]
+
+
+def test_near_duplicates_in_a_wide_bucket(spark):
+    """Many texts around one template: links between some, none between most; no cell holds sets unless close pairs are dense."""
+    base = [f"t{i}" for i in range(60)]
+    made = {i: base[:40] + [f"u{i // 3}_{k}" for k in range(30)] + ([f"x{i}"] if i % 3 else []) for i in range(900)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in made.items()], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, 2).collect()}
+    assert got == {i: i - i % 3 for i in made}
+
+
 def test_quality(docs):
     def stats(t):
         w, lines = WORD.findall(t or ""), [x for x in (t or "").split("\n") if WORD.search(x)]
@@ -193,6 +279,108 @@ def test_quality(docs):
     assert 0.8 < share < 1 and quality.posterior((0, 0, 0), share, chances) < 0.5 < quality.posterior((1, 1, None), share, chances)
 
 
+def test_quality_votes_weighed_by_another_em(docs):
+    """The classes' tables by plain arrays: same start, same prior, fixed rounds."""
+    rows = quality.judge(docs).collect()
+    votes = [c for c in rows[0].asDict() if c.startswith("vote_")]
+    code = np.array([[2 if r[v] is None else r[v] for v in votes] for r in rows])
+    used = np.array([r["n_words"] > 0 for r in rows])
+    hot = np.eye(3)[code[used]]
+    start = np.array([quality.BEFORE[0], quality.BEFORE[1]])[:, None, :].repeat(len(votes), 1)
+    table, share, weight = start.copy(), 0.8, 1 + 0.01 * used.sum()
+    for _ in range(200):
+        logs = np.einsum("dro,cro->dc", hot, np.log(table)) + np.log([1 - share, share])
+        p = 1 / (1 + np.exp(logs[:, 0] - logs[:, 1]))
+        table = np.stack([(weight * start[c] + np.einsum("d,dro->ro", w, hot)) / (weight + w.sum()) for c, w in enumerate((1 - p, p))])
+        share = (1 + p.sum()) / (2 + len(p))
+    logs = np.einsum("dro,cro->dc", np.eye(3)[code], np.log(table)) + np.log([1 - share, share])
+    good = logs[:, 1] >= logs[:, 0]
+    sure = np.abs(logs[:, 1] - logs[:, 0]) > 1e-6
+    assert all(r["kept"] == (bool(g) and not r["base_failed"]) for r, g, x in zip(rows, good, sure, strict=True) if x) and 0 < good.sum() < len(good)
+
+
+def test_language_by_brute_force(docs):
+    """Profiles, margins and decoding, one n-gram, bit and codeword at a time."""
+    model = langid.fit(docs)
+    said = [*list(texts(docs).values())[:25], "", None, "12 !", "Ünï\0cödé ÉCOLE x"]
+    got, has = langid.profile(said)
+    names, score, lead = model.decode(got)
+    for k, t in enumerate(said):
+        kept = [" "]
+        for c in (t or "").replace("\0", " ").lower():
+            if c.isalpha():
+                kept.append(c)
+            elif kept[-1] != " ":
+                kept.append(" ")
+        count = np.zeros(langid.WIDTH)
+        for n in (1, 2, 3):
+            for i in range(len(kept) - n + 1):
+                gram = kept[i : i + n]
+                if gram[0] == " " == gram[-1]:
+                    continue
+                h = naive_gram([ord(c) for c in gram])
+                count[(h * 0xD6E8FEB86659FD93 % 2**64) >> 52] += 1
+        want = np.sqrt(count)
+        want = want / (np.linalg.norm(want) or 1)
+        assert bool(has[k]) == any(c.isalpha() for c in t or "")
+        if has[k]:
+            assert np.allclose(got[k], want)
+            margin = [sum(want[i] * model.w[i][b] for i in np.flatnonzero(want)) + model.w[-1][b] for b in range(model.code.shape[1])]
+            loss = {n: sum(model.trust[b] * np.log1p(np.exp(-m * model.code[j][b])) for b, m in enumerate(margin)) for j, n in enumerate(model.langs)}
+            best = sorted(loss, key=loss.get)
+            p = [np.exp(loss[best[0]] - loss[n]) for n in best]
+            assert names[k] == best[0] and np.isclose(score[k], p[0] / sum(p), atol=1e-4) and np.isclose(lead[k], (p[0] - p[1]) / sum(p), atol=1e-4)
+
+
+def naive_gram(code):
+    """The hash of a gram: each longer one from the shorter one before it, with its length added."""
+    h = 0
+    for n, c in enumerate(code, 1):
+        h = (h * 0x9E3779B97F4A7C15 + c + n) % 2**64
+    return h
+
+
+def test_extra_columns_with_clashing_names(odd):
+    model = langid.fit(odd)
+    more = odd.withColumn("Lang_Pred", F.lit("x")).withColumn("SCORE", F.lit(0.25)).withColumn("_0", F.lit(1)).withColumn("_rest", F.lit(2)).withColumn("_text", F.lit(3))
+    said = langid.identify(more, model)
+    assert said.count() == odd.count() and [c for c in said.columns if c.lower() == "score"] == ["score"]
+    cut = substring.remove_repeats(more.withColumn("N_Words", F.lit(1)))
+    assert cut.select("_0", "_rest", "_text", "n_words", "text").count() == odd.count()
+
+
+def test_batches_are_bounded():
+    import pyarrow as pa
+
+    from pivolith.llm.common import batches_of_rows
+
+    sizes = [10, 5_000_000, 20, 3_000_000, 3_000_000, *[1000] * 600]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array(["x" * n for n in sizes])], ["i", "t"])
+    parts = list(batches_of_rows(batch, 256))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows == 1 or sum(sizes[i] for i in p.column(0).to_pylist()) <= 4 << 20 for p in parts) and max(p.num_rows for p in parts) <= 256
+
+
+def test_long_texts_within_memory(tmp_path):
+    """Sixteen texts of 5 MB through the language profile, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+import pyarrow as pa
+from pivolith.llm import langid
+from pivolith.llm.common import batches_of_rows
+batch = pa.RecordBatch.from_arrays([pa.array(["some words of a long text " * 200_000] * 16)], ["t"])
+langid.profile(["a"])
+for part in batches_of_rows(batch, 64):
+    langid.profile(part.column(0).to_pylist())
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd="/root/repo", check=True).stdout
+    assert int(out.split()[-1]) < 1500
+
+
 def test_language(docs):
     rows = queries.op7_language_id(docs.sparkSession, "/root/testdata/sf0.01").join(docs.sparkSession.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", F.length("text").alias("size")), "doc_id").where("held_out and size > 100").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows) > 100
@@ -218,6 +406,34 @@ def test_embeddings(spark):
     assert embeddedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_embeddings_of_several_lengths_and_sizes(spark):
+    big = [1e308, 1e308, 1e308]
+    rows = [(1, big), (2, big), (3, [1.0, 2.0]), (4, [2.0, 4.0]), (5, [1.0, -2.0]), (6, [1e-300, 2e-300]), (7, []), (8, [0.0, -0.0]), (9, [float("inf"), 1.0]), (9, [7.0]), (11, [3.0]), (12, [-3.0]), (3, [1.0, 2.0])]
+    rows += [(100 + i, [float(x) for x in r]) for i, r in enumerate(np.random.default_rng(1).standard_normal((400, 9)))]
+    rows += [(600 + i, [2 * x for x in r[1]]) for i, r in enumerate(rows[-400:])]
+    got = defaultdict(list)
+    for r in embeddedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got[r["vec_id"]].append(tuple(r)[1:])
+    assert got[1] == [(1, 1, True)] and got[2] == [(1, 1, False)] and got[3] == [(3, 3, True)] * 2 and got[4] == got[6] == [(3, 3, False)] and got[5] == [(0, 5, True)]
+    assert got[7] == [(0, 7, True)] and got[8] == [(0, 8, True)] and sorted(got[9]) == [(0, 9, True), (1, 9, True)] and got[11] == [(1, 9, False)] and got[12] == [(0, 12, True)]
+    assert all(got[600 + i][0][1] == got[100 + i][0][1] <= 100 + i for i in range(400))
+
+
+def test_embeddings_recall_near_the_threshold(spark):
+    """Pairs planted at cosines from 0.95 to 0.97, against brute force."""
+    rnd = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rnd.standard_normal((1500, 64)))
+    side = rnd.standard_normal(x.shape)
+    side = unit(side - (side * x).sum(1, keepdims=True) * x)
+    c = rnd.uniform(0.95, 0.97, (len(x), 1))
+    every = np.concatenate([x, c * x + np.sqrt(1 - c * c) * side])
+    near = unit(every) @ unit(every).T >= 0.95
+    want = near.sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embeddedup.near_vectors(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(every)], "vec_id long, embedding array<double>")).collect()}
+    assert sum(got.values()) >= 0.985 * want.sum() > 2900 and all(got[i] <= n for i, n in enumerate(want))
+
+
 def with_a_common_mean(common, n):
     """Unit vectors of this mean cosine, and for each one at a cosine of 0.95 to 0.96."""
     rnd = np.random.default_rng(4)
@@ -252,6 +468,56 @@ def test_html(spark):
     assert got[2]["text"] == got[3]["text"] == "" and got[6]["text"].count("\n") == 19_999
 
 
+def test_html_viterbi_by_brute_force():
+    chain = html.default_chain()
+    (oo, om), (mo, mm) = chain.move
+    step = {(0, 0): oo, (0, 1): om, (1, 0): mo, (1, 1): mm}
+    for page, _ in html.labelled_pages(150, seed=77):
+        blocks = html.leaf_blocks(page)
+        if 0 < len(blocks) <= 11:
+            score = [sum(chain.weight.get(f, 0.0) for f in html.features(*b)) for b in blocks]
+            total = lambda ls: sum(x for x, y in zip(score, ls, strict=True) if y) + sum(step[a, b] for a, b in zip(ls, ls[1:], strict=False))  # noqa: E731, B023
+            best = max((tuple(n >> k & 1 for k in range(len(blocks))) for n in range(2 ** len(blocks))), key=total)
+            assert abs(total(best) - total([int(x) for x in chain.viterbi(score)])) < 1e-9
+
+
+PAGES = [
+    ('<header><h1>Daily News</h1></header><div><h1>A thing happened</h1><p>This is a long text of the article, which says a lot.</p><p>And more of it follows here, in another sentence.</p></div>', "A thing happened\nThis is a long text of the article, which says a lot.\nAnd more of it follows here, in another sentence."),
+    ('<header><h1>Daily News</h1></header><div><p>This is a long text of the article, which says a lot.</p><p>And more of it follows here, in another sentence.</p></div><div class="reply"><b>Bob</b><p>Nice post!</p></div><div class="reply"><b>Al</b><p>I do not agree at all with what you say.</p></div>', "This is a long text of the article, which says a lot.\nAnd more of it follows here, in another sentence."),
+    ('<article><h1>T</h1><p>Long enough a text for an article, it says.</p></article><section id="respond"><h3>Replies</h3><div><b>Bo</b><p>So nice.</p></div><div><b>Al</b><p>Not at all.</p></div></section>', "T\nLong enough a text for an article, it says."),
+    ('<nav><a href="/">Home</a></nav><article><h1>Title</h1><p>One <math><mi>x</mi></math> two <canvas>c</canvas> <object>obj</object> three.</p><svg><p>Still here, the svg never ends.</article><footer>&copy; x</footer>', "Title\nOne x two c obj three.\nStill here, the svg never ends."),
+    ("<article><p data-id=\"a'b>c\" title='>'>Quoted &gt; signs &amp;amp; all.<template><p>no</p></template><noscript>no</noscript> End.</p></article>", "Quoted > signs &amp; all. End."),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), PAGES)
+def test_html_pages(page, text):
+    assert html.default_chain().extract(page) == text
+
+
+def test_html_time_is_linear():
+    import time
+
+    chain = html.default_chain()
+    for page in ("<div>x", "<a b='c' d=\"e\">", "<p class=q>x</section>", "<ul><li>x"):
+        spent = []
+        for n in (4000, 40_000):
+            runs = []
+            for _ in range(3):
+                began = time.perf_counter()
+                chain.extract(page * n)
+                runs.append(time.perf_counter() - began)
+            spent.append(min(runs))
+        assert spent[1] < 25 * spent[0] + 0.5, page
+
+
+def test_html_odd_rows(spark):
+    df = spark.createDataFrame([(1, None, None, "x"), (1, None, None, "y"), (None, "u", "<article><p>Some text of the article here.", "z")], "page_id long, url string, html string, text string")
+    got = html.extract_main_text(df)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and sorted((r["page_id"] or 0, r["n_chars"]) for r in got.collect()) == [(0, 30), (1, 0), (1, 0)]
+    assert html.extract_main_text(df.where("false")).count() == 0
+
+
 def test_bpe_round_trip(docs):
     from tokenizers import Tokenizer
 
