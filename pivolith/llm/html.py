@@ -2,8 +2,8 @@
 
 A page is cut into its leaf blocks: runs of text without a block element inside. A block's
 features are the tags and the class and id words of its ancestors, what its text looks
-like (length, share of link text, final mark, copyright sign), and whether it stands before, in or after the
-container with the most text of its own. A two-label chain, trained by
+like (length, share of link text, final mark, copyright sign), whether it stands before, in or after the
+container with the most text of its own, and whether it shares a container with a headline. A two-label chain, trained by
 maximum likelihood on labelled pages, is decoded by Viterbi; blocks of the label `main` are
 the text.
 
@@ -45,7 +45,11 @@ _WORD = re.compile(r"[a-z]+")
 #: What moves a tag's scan on: a quoted value, or the tag's end.
 _STEP = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')|>""")
 
-#: text, features of the ancestors, share of link text, place against the page's richest container
+#: Features of page headers; a headline there heads no article.
+HEAD = frozenset({"in:header", "is:header", "is:masthead", "is:topbar", "is:banner"})
+
+#: text, features of the ancestors, share of link text, and the place: against the page's richest container, and
+#: whether the block's own container has a headline
 Block = tuple[str, tuple[str, ...], float, str]
 
 
@@ -64,6 +68,7 @@ def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
     open_at: dict[str, list[int]] = defaultdict(list)
     block_at: list[int] = []
     first, last, credit = [0], [-1], [0.0]  # of containers: their blocks, and the characters right in them
+    holder: list[int] = []  # of blocks: their container
     run: list[str] = []
     linked: list[str] = []
     endless: set[str] = set()
@@ -74,7 +79,8 @@ def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
             if text:
                 link = min(1.0, len(" ".join(_html.unescape("".join(linked)).split())) / len(text))
                 out.append((text, (*(merged[-1] if merged else ()), f"leaf:{tags[block_at[-1]] if block_at else ''}"), link))
-                credit[inside[-1] if inside else 0] += len(text) * (1 - link)
+                holder.append(inside[-1] if inside else 0)
+                credit[holder[-1]] += len(text) * (1 - link)
             run.clear()
             linked.clear()
 
@@ -168,7 +174,9 @@ def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
     cut(0)
     last[0] = len(out)
     home = max(range(len(credit)), key=credit.__getitem__)
-    return [(*b, "before" if k < first[home] else "after" if k >= last[home] else "in") for k, b in enumerate(out)]
+    headed = {h for h, b in zip(holder, out, strict=True) if b[1][-1] == "leaf:h1" and not HEAD.intersection(b[1])}
+    side = lambda k: "before" if k < first[home] else "after" if k >= last[home] else "in"
+    return [(*b, f"{side(k)} {'headless' if not headed else 'headed' if holder[k] in headed else 'apart'}") for k, b in enumerate(out)]
 
 
 def features(text: str, inherited: tuple[str, ...], link: float, place: str) -> list[str]:
@@ -177,9 +185,9 @@ def features(text: str, inherited: tuple[str, ...], link: float, place: str) ->
         *inherited, "bias",
         f"words:{min(5, words.bit_length())}",
         f"link:{round(4 * link)}",
-        f"home:{place}",
+        f"home:{place}", *(f"home:{p}" for p in place.split()),
         "stop" if text[-1] in ".!?…:;\"'»”" else "nostop",
-        *(["copyright"] if "©" in text else []),
+        *(["copyright"] if "©" in text else []), *(["head", f"head:{inherited[-1]}"] if HEAD.intersection(inherited) else []),
     ]
 
 
@@ -198,7 +206,7 @@ NOISE = {
 HOMES = ("article", "main article", "main", "div.content", "div#content article", "div.post", "div.entry-content", "div.article-body", "section.story", "div[role=main]", "div#main div.text", "body-div", "table-cell", "div.?", "section#?")
 
 
-def labelled_pages(count: int = 2000, seed: int = 7) -> list[tuple[str, list[bool]]]:
+def labelled_pages(count: int = 2500, seed: int = 7) -> list[tuple[str, list[bool]]]:
     """Pages with the label of each leaf block in order: part of the article or not."""
     rnd = random.Random(seed)
     syllables = ["ba", "co", "de", "fi", "lu", "mar", "no", "per", "qui", "ro", "sta", "ten", "vo", "é", "ß", "ción", "the", "ing"]
@@ -254,7 +262,7 @@ def labelled_pages(count: int = 2000, seed: int = 7) -> list[tuple[str, list[boo
 
     def article(labels: list[bool]) -> str:
         body = []
-        if rnd.random() < 0.85:
+        if rnd.random() < 0.75:
             body.append(f"<h1>{words(1, 12)}</h1>")
             labels.append(True)
         for _ in range(rnd.choice([1, 2, 3, 5, 8, 14])):
@@ -307,7 +315,7 @@ def labelled_pages(count: int = 2000, seed: int = 7) -> list[tuple[str, list[boo
 class Chain:
     """Weights of a linear-chain conditional random field with the labels other and main."""
 
-    def __init__(self, pages: list[tuple[str, list[bool]]], steps: int = 200, ridge: float = 2e-5, least: int = 8) -> None:
+    def __init__(self, pages: list[tuple[str, list[bool]]], steps: int = 300, ridge: float = 2e-5, least: int = 8) -> None:
         """least: blocks that a feature has to occur in."""
         seqs = []
         for page, labels in pages:
