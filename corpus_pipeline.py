@@ -38,10 +38,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the chunks of lines that occur earlier. A null text stays null, one that loses all
-    its lines is empty; repeated rows are one document; a null doc_id comes before all others; an
+    """The documents without the chunks of lines that occur earlier; one that loses all its lines, as a copy may, goes.
+    Null and empty texts stay as they are; repeated rows are one document; a null doc_id comes before all others; an
     empty table stays empty."""
-    return _through(docs, linededup.dedup_lines)
+    return _through(docs, linededup.dedup_lines, (F.col("n_lines_removed") == 0) | (F.col("n_lines_removed") < F.col("n_lines_before")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
