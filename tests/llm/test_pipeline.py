@@ -20,7 +20,15 @@ def test_stages(spark, tmp_path):
             assert all(r["n_chars"] == len(r["text"]) for r in docs.collect()) or name == "language"
     before = {r["doc_id"]: r["text"] for r in raw.collect()}
     assert set(kept["language"]) <= set(before) and all(kept["language"][i] == before[i] for i in kept["language"])
-    assert len(kept["language"]) >= 0.97 * len(before) and set(kept["line_dedup"]) == set(kept["language"])
+    assert len(kept["language"]) >= 0.97 * len(before) and set(kept["line_dedup"]) <= set(kept["language"])
+    # what the line stage drops has lost every line: each of them stands in an earlier document
+    said = {}
+    for i in sorted(kept["language"]):
+        lines = set(kept["language"][i].split("\n"))
+        assert i in kept["line_dedup"] or all(min(said.get(x, [i])) < i for x in lines)
+        for x in lines:
+            said.setdefault(x, []).append(i)
+    assert all(kept["line_dedup"][i] or not kept["language"][i] for i in kept["line_dedup"])
     # near duplicates: by five-word shingles, all pairs
     sets = {}
     for i, t in kept["line_dedup"].items():
