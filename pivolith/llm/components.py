@@ -8,26 +8,41 @@ from pyspark.sql import functions as F
 from pivolith.llm.common import forget, written
 
 
+#: A node is a hub if it has more than one in SHARE of all edges, and more than FEW. As each edge has two ends there are at
+#: most 2 * SHARE hubs, however large the graph is.
+SHARE, FEW = 1000, 256
+
+
+def _with_least(edges: DataFrame, least: DataFrame, most: int) -> DataFrame:
+    """edges (u, v) with the m of their u. least has a row (u, m, n) for each u, n being the edges there. Edges of a hub, of
+    more than `most`, stay where they are and get its m by a broadcast of the hubs; no task of the
+    exchange that joins the others gets more than `most` rows of one u."""
+    hubs = F.broadcast(least.where(F.col("n") > most).drop("n"))
+    others = edges.join(hubs, "u", "left").where("m is null").drop("m")
+    return edges.join(hubs, "u").select("u", "v", "m").union(others.join(least.where(F.col("n") <= most).drop("n"), "u").select("u", "v", "m"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): for every id in an edge the smallest id that it reaches.
 
     A step joins each node's neighbours to the least of them, first the larger neighbours, then
     the smaller ones; rounds grow with the logarithm of the nodes. Minima are combined before each
-    exchange and the joins' large keys can be split, so a hub is no bottleneck. Edges stay in
-    written tables; the driver sees two numbers a round.
+    exchange and the edges of hubs aren't exchanged by them, so a hub is no bottleneck. Edges stay in
+    written tables; the driver sees two numbers a round. Null ends link nothing.
     """
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    mark = None
+    number, mark = now.count(), None
     while True:
+        most = max(FEW, number // SHARE)
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_least(both.where("v > u"), least, most).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_least(large, down, most).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.select("u", F.col("m").alias("v")))
         after = written(small.distinct())
         seen = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
         forget(now)
-        now = after
+        now, number = after, seen[0]
         if seen == mark:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         mark = seen

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pivolith.llm import bpe, embeddedup, html, langid, linededup, neardup, packing, quality, queries, substring, urlfilter
+from pivolith.llm.components import _with_least, components
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -251,6 +252,39 @@ def test_near_duplicates_with_unlike_texts_of_one_key(spark):
     assert got == [(-1, 49, None, False), (2, 1, 2, True), (3, 49, 3, True), (4, 8, 4, True), (5, 49, 3, False), (5, 49, 3, False), (7, 0, 7, True), (7, 49, 7, True), (8, 0, 8, True), (9, 49, 3, False), (9, 49, 3, False)]
 
 
+def test_components_with_hubs(spark):
+    rnd = random.Random(3)
+    edges = [(0, i) for i in range(1, 700)] + [(90_000, i) for i in range(10_000, 10_700)]  # hubs below and above their neighbours
+    edges += [(i, i + 1) for i in range(20_000, 20_040)] + [(10_005, 20_040), (5, 5)]
+    edges += [(rnd.randrange(30_000, 30_400), rnd.randrange(30_000, 30_400)) for _ in range(250)]
+    edges += [(b, a) for a, b in edges[::7]]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            p, q = root(a), root(b)
+            parent[max(p, q)] = min(p, q)
+    rows = [(a, b) for a, b in edges] + [(None, 1), (1, None)]
+    found = components(spark.createDataFrame(rows, "a long, b long").repartition(8))
+    assert sorted(map(tuple, found.collect())) == sorted((x, root(x)) for x in parent)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hub_edges_are_not_exchanged_by_hub(spark):
+    star = spark.range(1, 5000).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v")).union(spark.range(6000, 6100).select("id", F.lit(6).cast("long")))
+    least = star.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = _with_least(star, least, 300)
+    assert joined.count() == 5099
+    assert joined.where("u = 0 and m <> 1").isEmpty() and joined.where("u > 0 and m <> 6").isEmpty()
+    with_hub = joined.where("u = 0").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in with_hub) <= 5000 / 4
+
+
 def test_near_duplicates_in_a_wide_bucket(spark):
     """Many texts around one template: links between some, none between most; no cell holds sets unless close pairs are dense."""
     base = [f"t{i}" for i in range(60)]
