@@ -76,6 +76,13 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(mix(acc + np.uint64(size)))
 
 
+def shared_values(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two nonempty sorted sets share."""
+    few, many = (a, b) if len(a) < len(b) else (b, a)
+    at = np.searchsorted(many, few)
+    return int((many[np.minimum(at, len(many) - 1)] == few).sum())
+
+
 def signature(own: np.ndarray) -> np.ndarray:
     """The symbols of a nonempty set."""
     least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
@@ -188,6 +195,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c[:-1][known[:-1]]) for c in row[:-1]], names)
     if held is not None and held[-1][0]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[:-1]], names)
+    release()
 
 
 def _across(table: pa.Table, most: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,6 +242,7 @@ def _promising(most: int, percent: int):
             own = table.filter(pa.array(hit))
             empty = pa.chunked_array([pa.nulls(own.num_rows, pa.int64())])
             yield from pa.table([own.column("key"), own.column("i"), own.column("j"), own.column("id"), empty, *(own.column(c) for c in ("component", "n", "code", "block"))], ["key", "i", "j", "a", "b", "component", "n", "code", "block"]).to_batches()
+        release()
 
     return run
 
@@ -246,8 +255,9 @@ def _linked(most: int, percent: int):
         for table in cells(batches):
             id_, component = (table.column(c).to_numpy() for c in ("id", "component"))
             a, b = _across(table, most, percent)
-            own = table.column("own")
-            sets = {r: frozenset(own[r].as_py()) for r in set(a.tolist()) | set(b.tolist())}
+            own = table.column("own").combine_chunks()
+            starts = own.offsets.to_numpy()
+            values = own.values.to_numpy().view(np.uint64)  # the sets stay in the table's memory
             parent: dict[int, int] = {}
 
             def root(x: int) -> int:
@@ -260,12 +270,13 @@ def _linked(most: int, percent: int):
                 p, q = root(int(component[x])), root(int(component[y]))
                 if p == q:
                     continue
-                shared = len(sets[x] & sets[y])
-                if 100 * shared >= percent * (len(sets[x]) + len(sets[y]) - shared):
+                mine, other = values[starts[x] : starts[x + 1]], values[starts[y] : starts[y + 1]]
+                if shared_values(mine, other) * (100 + percent) >= percent * (len(mine) + len(other)):
                     parent[max(p, q)] = min(p, q)
                     links.append((int(id_[x]), int(id_[y])))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+        release()
 
     return run
 
@@ -276,6 +287,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             for batch in batches_of_rows(whole):
                 sets = [shingles(t, size).view(np.int64) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "own"])
+        release()
 
     return docs.mapInArrow(run, "id long, own array<long>")
 

@@ -252,6 +252,13 @@ def test_near_duplicates_with_unlike_texts_of_one_key(spark):
     assert got == [(-1, 49, None, False), (2, 1, 2, True), (3, 49, 3, True), (4, 8, 4, True), (5, 49, 3, False), (5, 49, 3, False), (7, 0, 7, True), (7, 49, 7, True), (8, 0, 8, True), (9, 49, 3, False), (9, 49, 3, False)]
 
 
+def test_shared_values_and_cells_of_sets():
+    rnd = np.random.default_rng(5)
+    for _ in range(300):
+        x, y = (np.unique(rnd.integers(0, 40, rnd.integers(1, 30)).astype(np.uint64) << np.uint64(58 + rnd.integers(0, 2))) for _ in range(2))
+        assert neardup.shared_values(x, y) == len(set(x.tolist()) & set(y.tolist()))
+
+
 def test_components_with_hubs(spark):
     rnd = random.Random(3)
     edges = [(0, i) for i in range(1, 700)] + [(90_000, i) for i in range(10_000, 10_700)]  # hubs below and above their neighbours
