@@ -159,11 +159,12 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(gone, _PLACE_NAMES)
 
 
-def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+def repeated_windows(docs: DataFrame, size: int = WINDOW, by: tuple[str, ...] = ("id", "sub")) -> DataFrame:
     """(id, sub, gone): for each document with some, the starts of the windows that also start earlier.
 
     docs has the columns id, sub (long, not null; sub tells documents of one id apart) and text. Any others are carried to the windows' pass
-    unread, so that its exchange of docs by id and sub is the same as a later join's and is made once.
+    unread, so that its exchange of docs is the same as a later join's and is made once. by: the columns that tell documents
+    apart; where sub is one value, id alone spares the exchanges from (id, sub) to id (the result has no sub then).
     """
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,10 +187,10 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         return _sent(batches, make)
 
     found = docs.select("id", "sub", "text").mapInArrow(send_anchors, _ROWS).repartition("h").sortWithinPartitions("h").mapInArrow(_shared, _PLACES)
-    marked = found.groupBy("id", "sub").agg(F.collect_set("at").alias("ats"))
-    rows = docs.join(marked.hint("shuffle_hash"), ["id", "sub"]).select(*docs.columns, "ats").mapInArrow(send_windows, _ROWS)
+    marked = found.groupBy(*by).agg(F.collect_set("at").alias("ats"))
+    rows = docs.join(marked.hint("shuffle_hash"), list(by)).select(*docs.columns, "ats").mapInArrow(send_windows, _ROWS)
     later = rows.repartition("h").sortWithinPartitions("h", F.shiftright("at", 32), "id", "sub", "at").mapInArrow(_later, _PLACES)
-    return later.groupBy("id", "sub").agg(F.collect_list("at").alias("gone"))
+    return later.groupBy(*by).agg(F.collect_list("at").alias("gone"))
 
 
 _OUT = {"text": T.StringType(), "n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType()}
@@ -214,9 +215,11 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
     said = F.xxhash64(F.col(f"`{text}`"))
     unlike = written(docs.select(own, said.alias("sub")).groupBy("id").agg(F.min("sub").alias("a"), F.max("sub").alias("b")).where("a <> b").select("id"))
     rows = docs.select(own, F.lit(0).cast("long").alias("sub"), F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carried)]).alias("_rest"))
+    by = ("id",)
     if not unlike.isEmpty():  # else sub is one value, which packs to nothing
+        by = ("id", "sub")
         rows = rows.join(unlike.withColumn("_unlike", F.lit(True)), "id", "left").select("id", F.when(F.col("_unlike"), F.xxhash64("text")).otherwise(F.col("sub")).alias("sub"), "text", "_rest")
-    rows = rows.join(repeated_windows(rows, size).hint("shuffle_hash"), ["id", "sub"], "left")
+    rows = rows.join(repeated_windows(rows, size, by).hint("shuffle_hash"), list(by), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
