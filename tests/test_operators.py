@@ -125,6 +125,25 @@ def test_registered_queries_match_sql(spark):
         assert sorted(str([r[n] for n in names]) for r in got.collect()) == rows, name
 
 
+def test_flattened_numbers_match_sql(spark, tmp_path):
+    import duckdb
+
+    from pivolith.plans import queries
+
+    nan, inf = float("nan"), float("inf")
+    cases = [  # exact halves, texts that end in a half that the float isn't, wide, not finite, short and missing
+        ([0.03125, 0.09375, -0.03125, 1.0], "0.0312 0.0938 -0.0312"), ([0.05365, 0.25605, -0.10855], "0.0536 0.2560 -0.1085"), ([0.00005, -0.00001, 1234567.5], "0.0000 -0.0000 1234567.5000"),
+        ([2.0**55, -1e19, 3.4028234663852886e38], "36028797018963968.0000 -9999999980506447872.0000 340282346638528859811704183484516925440.0000"),
+        ([nan, inf, -inf, 1.5], "nan inf -inf"), ([nan, 2.5, None, 7.0], "nan 2.5000"), ([None, 2.0, 3.0, 4.0], "2.0000 3.0000"), ([1.0], "1.0000"), ([None], None), ([], None), (None, None),
+    ]
+    spark.createDataFrame([(i, x, 0) for i, (x, _) in enumerate(cases)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r["vec_id"], r["start"], r["parts"]) for r in queries.queries()["flatten_numbers"](spark, str(tmp_path)).collect())
+    assert got == [(i, said, None if x is None else len(x)) for i, (x, said) in enumerate(cases)]
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(c.execute(queries.oracle_sql()["flatten_numbers"]).fetchall())
+
+
 def test_aliases(spark):
     df = spark.createDataFrame([("a", 6.0, 2.0), ("b", 9.0, 3.0)], "k string, cost double, sales double")
     spec, spelt = PivotSpec(("k",), (), (Metric("ratio"),)), {"spend": "cost", "sales": "cost", "none": "gone"}
